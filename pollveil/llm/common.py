@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,3 +39,17 @@ def cut(df: DataFrame) -> DataFrame:
 def grown_partitions(df: DataFrame, rows: int, per_partition: int) -> int:
     """How many partitions keep about per_partition rows in each; never fewer than the session's setting."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-rows // per_partition))
+
+
+def stash(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared checkpoint folder: as cut(), but narrow reads skip the wide columns.
+
+    The table goes when the session's JVM ends."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pollveil.llm.packing import op9_mixture_packing
 from pollveil.llm.simhash import op1_simhash_near_dedup
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op9_mixture_packing": op9_mixture_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
