@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pollveil.llm.isomedia import op3_iso_media
+from pollveil.llm.langid import op8_ecoc_language_id
 from pollveil.llm.packing import op9_mixture_packing
 from pollveil.llm.simhash import op1_simhash_near_dedup
 from pollveil.llm.token_spans import op2_section_token_counts
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_section_token_counts": op2_section_token_counts,
     "op3_iso_media": op3_iso_media,
+    "op8_ecoc_language_id": op8_ecoc_language_id,
     "op9_mixture_packing": op9_mixture_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
