@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pollveil.llm.decontaminate import op4_qgram_decontamination
 from pollveil.llm.isomedia import op3_iso_media
 from pollveil.llm.langid import op8_ecoc_language_id
 from pollveil.llm.packing import op9_mixture_packing
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_section_token_counts": op2_section_token_counts,
     "op3_iso_media": op3_iso_media,
+    "op4_qgram_decontamination": op4_qgram_decontamination,
     "op8_ecoc_language_id": op8_ecoc_language_id,
     "op9_mixture_packing": op9_mixture_packing,
 }
