@@ -5,16 +5,21 @@ from __future__ import annotations
 from pollveil.llm.decontaminate import op4_qgram_decontamination
 from pollveil.llm.isomedia import op3_iso_media
 from pollveil.llm.langid import op8_ecoc_language_id
+from pollveil.llm.licenses import op10_license_scan
 from pollveil.llm.packing import op9_mixture_packing
 from pollveil.llm.simhash import op1_simhash_near_dedup
 from pollveil.llm.token_spans import op2_section_token_counts
+from pollveil.llm.urlfilter import op7_bloom_url_filter
+from pollveil.llm.urlfilter import oracle as op7_oracle
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_section_token_counts": op2_section_token_counts,
     "op3_iso_media": op3_iso_media,
     "op4_qgram_decontamination": op4_qgram_decontamination,
+    "op7_bloom_url_filter": op7_bloom_url_filter,
     "op8_ecoc_language_id": op8_ecoc_language_id,
     "op9_mixture_packing": op9_mixture_packing,
+    "op10_license_scan": op10_license_scan,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_bloom_url_filter": op7_oracle()}
