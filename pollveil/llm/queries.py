@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pollveil.llm.decontaminate import op4_qgram_decontamination
+from pollveil.llm.hmm import op6_hmm_language_model
 from pollveil.llm.htmltext import op5_html_main_text
 from pollveil.llm.isomedia import op3_iso_media
 from pollveil.llm.langid import op8_ecoc_language_id
@@ -19,6 +20,7 @@ QUERIES = {
     "op3_iso_media": op3_iso_media,
     "op4_qgram_decontamination": op4_qgram_decontamination,
     "op5_html_main_text": op5_html_main_text,
+    "op6_hmm_language_model": op6_hmm_language_model,
     "op7_bloom_url_filter": op7_bloom_url_filter,
     "op8_ecoc_language_id": op8_ecoc_language_id,
     "op9_mixture_packing": op9_mixture_packing,
