@@ -137,7 +137,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: st
     sums = cut(stored.groupBy("part", "source").agg(F.sum("n").alias("n")))
     by_source = sums.groupBy("source").agg(F.sum("n").alias("n"))
     total = by_source.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    own = F.col("source").isin([f"={s}" for s in targets]) if targets else F.col("n") * window >= F.lit(total) * min_quantum
+    own = F.col("source").isin([f"={s}" for s in targets]) if targets else F.col("n") >= -(-total * min_quantum // window)
     large = sorted((r.source, r.n) for r in by_source.where(own).collect())  # at most window / min_quantum rows, or the targets
     queues, totals = {s: j for j, (s, _) in enumerate(large)}, [n for _, n in large]
     rest = total - sum(totals)
