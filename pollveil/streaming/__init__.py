@@ -1,0 +1 @@
+"""Tallies of vote records that are still arriving."""
