@@ -221,7 +221,7 @@ def matcher(index: Index, spark: SparkSession):
                 rows.append([{"item_id": index.ids[f.item], "start": s, "end": e, "edits": f.edits, "item_chars": int(index.m[f.item])} for f, (s, e) in zip(found, places(raw, found) if found else [], strict=True)])
             yield pd.Series(rows, dtype=object)
 
-    return of
+    return of.asNondeterministic()  # else the optimizer has it run once more to filter empty arrays
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text: Column, item_id: str = "item_id", item_text: str = "text", rate: float = EDIT_RATE) -> Column | None:
