@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from pollveil.plans.model import AGGREGATE_PREFIX, HEADER, Layout
 
@@ -97,7 +98,7 @@ def sort_key(cvr_number: Column) -> dict[str, Column]:
     return {"sort_class": kind, "sort_number": number, "sort_text": F.when(number.isNull(), own)}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def format_probability(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """0.0000, 1.000 from one up, else four decimals in six characters; null stays empty."""
     for v in values:
