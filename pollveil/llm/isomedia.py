@@ -231,11 +231,10 @@ def features(media: bytes | None) -> dict:
 
 
 def inspect(files: DataFrame, media: str = "media") -> DataFrame:
-    """files without the media column, and with FEATURES; their names must be free."""
+    """files without the media column, and with FEATURES, which replace columns of the same names."""
     new = T._parse_datatype_string(FEATURES)
+    files = files.drop(*(n for n in new.fieldNames() if n != media))
     schema = T.StructType([f for f in files.schema.fields if f.name != media] + new.fields)
-    if clash := {f.name for f in files.schema.fields} & set(new.fieldNames()):
-        raise ValueError(f"columns {sorted(clash)} are there already")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([("codec", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("n_frames", pa.int64()), ("duration_s", pa.float64()), ("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())]))), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("error", pa.string())])
