@@ -31,7 +31,7 @@ def _shares(picks: DataFrame, layout: Layout, *by: str) -> DataFrame:
 def overall_probabilities(ballots: DataFrame, layout: Layout) -> DataFrame:
     """contest, choice, col_idx, eligible, votes, prob, undervote (what no choice of the contest got)."""
     own = _shares(contest_picks(ballots, layout), layout)
-    left = own.groupBy("contest").agg((1 - F.sum("prob")).alias("undervote"))
+    left = own.groupBy("contest").agg(((F.max("eligible") - F.sum("votes")) / F.max("eligible")).alias("undervote"))
     return own.join(left, "contest")
 
 

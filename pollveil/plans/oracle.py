@@ -38,7 +38,7 @@ WITH lens AS (
   WHERE NOT g.is_rare AND b.ord NOT IN (SELECT ord FROM borrowed)
 ), member_cells AS (SELECT c.* FROM cells c JOIN members m USING (ord)
 ), counts AS (SELECT contest, choice, CAST(sum(CAST(cell AS BIGINT)) AS BIGINT) AS n FROM member_cells WHERE cell NOT IN ('', '0') GROUP BY contest, choice
-), presence AS (SELECT contest, count(*) AS ballots, count_if(voted) AS with_vote FROM (SELECT ord, contest, bool_or(cell <> '') AS on_it, bool_or(cell NOT IN ('', '0')) AS voted FROM member_cells GROUP BY ord, contest) WHERE on_it GROUP BY contest
+), presence AS (SELECT contest, count(*) AS ballots, CAST(count_if(voted) AS BIGINT) AS with_vote FROM (SELECT ord, contest, bool_or(cell <> '') AS on_it, bool_or(cell NOT IN ('', '0')) AS voted FROM member_cells GROUP BY ord, contest) WHERE on_it GROUP BY contest
 ), needs AS (SELECT contest, {k} - ballots AS need FROM presence WHERE ballots < {k}
 ), sums AS (SELECT col_idx, contest, choice, CAST(sum(CASE WHEN cell = '1' THEN 1 ELSE 0 END) AS BIGINT) AS total FROM member_cells GROUP BY col_idx, contest, choice
 ), gaps AS (SELECT c.contest, coalesce(sum(n), 0) AS total, coalesce(max(n), 0) AS most FROM (SELECT DISTINCT contest FROM cols) c LEFT JOIN counts USING (contest) GROUP BY c.contest
@@ -128,7 +128,7 @@ SELECTS: dict[str, tuple[int | None, int, str]] = {
     "style_mapping": (None, 10, "SELECT sig AS original_style, CASE WHEN is_rare THEN 'AGGREGATED-1' ELSE sig END AS anonymized_style FROM groups"),
     "style_probabilities": (None, 10, STYLE_SHARES),
     "aggregate_style_probabilities": (None, 10, f"SELECT 'AGGREGATED-1' AS style, contest, choice, prob, CAST(ballot_count AS BIGINT) AS ballot_count, ballot_count >= 10 AS is_common FROM ({AGG_SHARES})"),
-    "overall_probabilities": (None, 10, f"SELECT o.*, 1 - s.p AS undervote FROM ({OVERALL}) o JOIN (SELECT contest, sum(prob) AS p FROM ({OVERALL}) GROUP BY contest) s USING (contest)"),
+    "overall_probabilities": (None, 10, f"SELECT o.*, s.u AS undervote FROM ({OVERALL}) o JOIN (SELECT contest, CAST(max(eligible) - sum(votes) AS DOUBLE) / max(eligible) AS u FROM ({OVERALL}) GROUP BY contest) s USING (contest)"),
     "probability_sheet": (None, 10, f"SELECT concat('V', p.ord) AS voter, CASE WHEN g.is_rare THEN 'AGGREGATED-1' ELSE g.sig END AS style, c.contest, c.choice, CASE WHEN g.is_rare THEN a.prob ELSE s.prob END AS prob FROM picks p JOIN ballots b USING (ord) JOIN groups g USING (sig) JOIN cols c ON c.contest = p.contest LEFT JOIN ({STYLE_SHARES}) s ON s.style = b.sig AND s.contest = c.contest AND s.choice = c.choice LEFT JOIN ({AGG_SHARES}) a ON a.contest = c.contest AND a.choice = c.choice WHERE p.on_it"),
     "overall_sheet": (5, 10, f"SELECT concat('V', p.ord) AS voter, b.style, o.contest, o.choice, o.prob FROM picks p JOIN ballots b USING (ord) JOIN ({OVERALL}) o ON o.contest = p.contest WHERE p.on_it"),
     "style_similarity": (None, 10, "SELECT g.sig, CASE WHEN e.u = 0 THEN 1.0 ELSE CAST(e.i AS DOUBLE) / e.u END AS similarity FROM groups g JOIN (SELECT g.sig, count_if(substr(g.sig, x, 1) = '1' AND substr(l.sig, x, 1) = '1') AS i, count_if(substr(g.sig, x, 1) = '1' OR substr(l.sig, x, 1) = '1') AS u FROM groups g, largest l, range(4, 200) t(x) GROUP BY g.sig) e USING (sig)"),

@@ -198,7 +198,12 @@ def _contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     max_line, k, _ = SELECTS[name]
-    return lambda spark, sf_dir: APPLY[name](Case(spark, sf_dir, max_line, k))
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = APPLY[name](Case(spark, sf_dir, max_line, k))
+        return found.withColumns({c: F.col(c).cast("long") for c, kind in found.dtypes if kind == "int" and c in ("col_idx", "i", "j")})  # as wide as the SQL's numbers
+
+    return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
