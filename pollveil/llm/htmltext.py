@@ -31,10 +31,10 @@ STRUCTURE = set("article aside body button details dialog div fieldset figure fo
 FURNITURE = set("aside button dialog fieldset footer form label menu nav search select".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 GOOD_NAMES = set("article articlebody content entry main post story".split())
-BAD_NAMES = set("ad ads adv advert advertisement advertising adverts advertorial alert banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies disqus gdpr menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promotion recommended related replies reply respond responses search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe teaser toolbar widget widgets".split())
-BAD_OUTSIDE = set("bottom copyright footer header legal login masthead site topbar".split())
+BAD_NAMES = set("ad ads adsbygoogle adv advert advertisement advertising adverts advertorial alert banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies discussion disqus gdpr menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promotion recommended related replies reply respond responses search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe teaser toolbar widget widgets".split())
+BAD_OUTSIDE = set("bottom copyright footer header latest legal login masthead popular recent site topbar trending".split())
 _TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<[a-zA-Z!?/][^>]*\Z", re.S)
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAMED = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 FEATURES = ("words", "link_density", "words_before", "density_before", "words_after", "density_after", "in_article", "in_furniture", "named_bad", "heading", "item", "article_elsewhere")
@@ -119,7 +119,7 @@ def blocks(page: str | None) -> list[Block]:
                 depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
                 if depth is not None:
                     del stack[depth:]
-            elif not m[3].endswith("/"):
+            else:
                 article, furniture, bad = state
                 good, named = _names(m[3], tag, article)
                 article |= tag in ("article", "main") or good
