@@ -29,9 +29,9 @@ def _show(title: str, found: DataFrame, *order: str) -> None:
 def anonymize(spark: SparkSession, source: str, target: str, config: Config, summarize: bool = False) -> R.Release:
     """Reads, releases, verifies, and only then writes. A target that ends in .parquet gets Parquet."""
     file = cvrfile.read(spark, source, config)
-    styled = S.with_style(file.ballots, file.layout)
-    _show("CVR styles and their names:", S.cvr_style_names(styled, config.min_ballots), "style")
-    for title, found in (("several CVR styles", S.leakage_by_cvr_style(styled)), ("several ballot types", S.leakage_by_ballot_type(styled))):
+    analysis = S.analyze(file.ballots, file.layout, config.min_ballots)
+    _show("CVR styles and their names:", analysis.cvr_styles, "style")
+    for title, found in (("several CVR styles", analysis.shared_patterns), ("several ballot types", analysis.shared_ballot_types)):
         for r in found.orderBy("pattern").collect():
             print(f"Warning: pattern {r.pattern[:60]} has {title}: {r[1][:60]}", file=sys.stderr)
     if summarize:
@@ -56,7 +56,7 @@ def guess(spark: SparkSession, source: str | None, anonymized: str | None, min_b
         source = os.path.join(folder, "test_case_cvr.csv")
         cvrfile.write_csv(synthetic_case(spark), cvrfile.preamble_of(LAYOUT, election), source)
     file = cvrfile.read(spark, source)
-    ballots = file.ballots.where("n_fields > 6")
+    ballots = I.in_style_order(file.ballots.where("n_fields > 6")).drop("ord").withColumnRenamed("voter", "ord")
     overall = I.overall_probabilities(ballots, file.layout)
     by_style = I.style_probabilities(ballots, file.layout, min_ballots)
     sheets = [I.probability_sheet(ballots, file.layout, overall), I.probability_sheet(ballots, file.layout, overall, by_style)]

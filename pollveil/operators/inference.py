@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from pollveil.functions import cells as C
 from pollveil.operators import tally as T
 from pollveil.plans.model import AGGREGATE_PREFIX, Layout
+from pollveil.plans.store import numbered
+
+
+def in_style_order(ballots: DataFrame) -> DataFrame:
+    """ballots with voter, numbered style by style in the order in which styles first appear, as the historical sheets
+    number them."""
+    first = ballots.groupBy("style").agg(F.min("ord").alias("__first"))
+    own = ballots.withColumn("style", F.coalesce("style", F.lit(""))).join(first.withColumn("style", F.coalesce("style", F.lit(""))), "style")
+    return numbered(own, "__first", "ord", to="voter").drop("__first")
 
 
 def contest_picks(ballots: DataFrame, layout: Layout) -> DataFrame:

@@ -85,9 +85,14 @@ def anonymize(ballots: DataFrame, layout: Layout, config: Config | None = None)
     rare = S.with_rarity(styled, k).where("is_rare").select(styled.columns)
     borrowed = B.borrow_for_minimum(styled, k)
     members = cut(rare.select("*", F.lit("rare").alias("bucket")).unionByName(borrowed.select("*", F.lit("borrowed").alias("bucket"))))
+    stats["rare_styles"] = groups.where("is_rare").count()
+    stats["totals_after_rare_styles"] = _nested(T.group_tally(rare, layout, mode))
     stats["ballots_borrowed_for_minimum"] = members.where("bucket = 'borrowed'").count()
     pool = cut(B.pool_after(styled, members.where("bucket = 'borrowed'"), k))
-    needs = {r.contest: r.need for r in T.contest_needs(members, layout, k).collect()}  # a row for each contest at most
+    present = T.contest_presence(members, layout).collect()  # a row for each contest at most
+    stats["contest_ballot_counts_after_rare"] = {r.contest: r.ballots for r in present}
+    stats["contest_ballot_vote_counts_after_rare"] = {r.contest: r.with_vote for r in present}
+    needs = {r.contest: k - r.ballots for r in present if r.ballots < k}
     stats["contests_needing_ballots"] = dict(sorted(needs.items()))
     covering = B.cover_contests(pool, layout, needs, B.as_counts(T.choice_counts(members, layout)), k)
     stats["ballots_added_for_contests"] = len(covering)
@@ -111,6 +116,10 @@ def anonymize(ballots: DataFrame, layout: Layout, config: Config | None = None)
     aggregate = cut(aggregate_row(members))
     released = redact(without_aggregated(ballots, members))
     stats["aggregated_rows"] = 1
+    present = T.contest_presence(members, layout).collect()
+    stats["final_contest_ballot_counts"] = {r.contest: r.ballots for r in present}
+    stats["final_contest_vote_counts"] = {r.contest: r.with_vote for r in present}
+    stats["final_aggregate_totals"] = _nested(T.tally(aggregate, layout))
     stats["final_styles"] = pool.select("sig").distinct().count() + 1
     wrong = T.verify(ballots, released.unionByName(aggregate), layout).where("difference <> 0").limit(5).collect()
     if wrong:
@@ -121,6 +130,14 @@ def anonymize(ballots: DataFrame, layout: Layout, config: Config | None = None)
     return Release(released, aggregate, membership, stats)
 
 
+def _nested(totals: DataFrame) -> dict[str, dict[str, int]]:
+    """contest -> choice -> votes; as many as a ballot has choices."""
+    out: dict[str, dict[str, int]] = {}
+    for r in totals.orderBy("contest", "choice").collect():
+        out.setdefault(r.contest, {})[r.choice] = r.votes
+    return out
+
+
 def check_release(released: DataFrame, aggregate: DataFrame, members: DataFrame, layout: Layout, k: int) -> None:
     """No style goes out with fewer than k ballots, and the aggregate stands for k at least."""
     small = S.style_groups(S.with_style(released, layout)).where(F.col("n") < k).limit(1).collect()

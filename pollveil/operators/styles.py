@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,22 @@ from pollveil.functions import cells as C
 from pollveil.plans.model import Layout
 
 
+@dataclass
+class StyleAnalysis:
+    """Lazy tables: names of patterns and of CVR styles, both kinds of leakage, sizes of CVR styles."""
+
+    patterns: DataFrame
+    cvr_styles: DataFrame
+    shared_patterns: DataFrame
+    shared_ballot_types: DataFrame
+    sizes: DataFrame
+
+
+def analyze(ballots: DataFrame, layout: Layout, min_ballots: int = 10) -> StyleAnalysis:
+    styled = with_style(ballots, layout)
+    return StyleAnalysis(named_patterns(styled, min_ballots), cvr_style_names(styled, min_ballots), leakage_by_cvr_style(styled), leakage_by_ballot_type(styled), cvr_style_counts(ballots))
+
+
 def with_style(ballots: DataFrame, layout: Layout) -> DataFrame:
     """ballots with sig and pattern, without those that have no vote fields."""
     return ballots.where(F.size("cells") > 0).withColumns({"sig": C.signature(F.col("cells")), "pattern": C.contest_pattern(F.col("cells"), layout)})

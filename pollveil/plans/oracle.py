@@ -130,6 +130,7 @@ SELECTS: dict[str, tuple[int | None, int, str]] = {
     "aggregate_style_probabilities": (None, 10, f"SELECT 'AGGREGATED-1' AS style, contest, choice, prob, CAST(ballot_count AS BIGINT) AS ballot_count, ballot_count >= 10 AS is_common FROM ({AGG_SHARES})"),
     "overall_probabilities": (None, 10, f"SELECT o.*, s.u AS undervote FROM ({OVERALL}) o JOIN (SELECT contest, CAST(max(eligible) - sum(votes) AS DOUBLE) / max(eligible) AS u FROM ({OVERALL}) GROUP BY contest) s USING (contest)"),
     "probability_sheet": (None, 10, f"SELECT concat('V', p.ord) AS voter, CASE WHEN g.is_rare THEN 'AGGREGATED-1' ELSE g.sig END AS style, c.contest, c.choice, CASE WHEN g.is_rare THEN a.prob ELSE s.prob END AS prob FROM picks p JOIN ballots b USING (ord) JOIN groups g USING (sig) JOIN cols c ON c.contest = p.contest LEFT JOIN ({STYLE_SHARES}) s ON s.style = b.sig AND s.contest = c.contest AND s.choice = c.choice LEFT JOIN ({AGG_SHARES}) a ON a.contest = c.contest AND a.choice = c.choice WHERE p.on_it"),
+    "style_voter_order": (None, 10, "SELECT ord AS cvr, style, row_number() OVER (ORDER BY first, ord) AS voter FROM (SELECT ord, style, min(ord) OVER (PARTITION BY style) AS first FROM ballots)"),
     "overall_sheet": (5, 10, f"SELECT concat('V', p.ord) AS voter, b.style, o.contest, o.choice, o.prob FROM picks p JOIN ballots b USING (ord) JOIN ({OVERALL}) o ON o.contest = p.contest WHERE p.on_it"),
     "style_similarity": (None, 10, "SELECT g.sig, CASE WHEN e.u = 0 THEN 1.0 ELSE CAST(e.i AS DOUBLE) / e.u END AS similarity FROM groups g JOIN (SELECT g.sig, count_if(substr(g.sig, x, 1) = '1' AND substr(l.sig, x, 1) = '1') AS i, count_if(substr(g.sig, x, 1) = '1' OR substr(l.sig, x, 1) = '1') AS u FROM groups g, largest l, range(4, 200) t(x) GROUP BY g.sig) e USING (sig)"),
     "style_frequency": (None, 10, "SELECT concat(substr(style, 1, 3), sig) AS legacy_sig, count(*) AS n FROM ballots GROUP BY 1"),

@@ -165,6 +165,7 @@ APPLY: dict[str, Callable[[Case], DataFrame]] = {
     "aggregate_style_probabilities": lambda c: I.aggregate_probabilities(R.aggregate_row(c.rare).withColumn("style", F.col("cvr_number")), c.layout, c.k),
     "overall_probabilities": lambda c: I.overall_probabilities(c.ballots, c.layout),
     "probability_sheet": _sheet,
+    "style_voter_order": lambda c: I.in_style_order(c.ballots).select(F.col("ord").alias("cvr"), "style", "voter"),
     "overall_sheet": lambda c: I.probability_sheet(c.ballots, c.layout, I.overall_probabilities(c.ballots, c.layout)),
     "style_similarity": lambda c: X.similarity_to(S.style_groups(c.styled), B.largest_common_style(S.style_groups(c.styled), c.k).first().sig),
     "style_frequency": lambda c: X.style_frequency(c.ballots),

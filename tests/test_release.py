@@ -60,7 +60,11 @@ def test_release_of_the_test_election(spark, case, mode):
     assert rows[4] == ["12", "1", "1", "12", "1-1-12", "", "", "", "", "", "1", "0"]
     assert rows[-1] == ["AGGREGATED-1", "", "", "", "", "", "", "AGGREGATED", "7", "4", "5", "5"]
     assert len(rows) == 4 + 10 + 1
-    assert release.stats["ballots_borrowed_for_minimum"] == 10 and release.stats["final_styles"] == 2
+    stats = release.stats
+    assert stats["ballots_borrowed_for_minimum"] == 10 and stats["final_styles"] == 2 and stats["rare_ballots_initial"] == 1
+    assert stats["totals_after_rare_styles"] == {"A": {"A0": 1}}
+    assert stats["final_aggregate_totals"] == {"A": {"A0": 7, "A1": 4}, "B": {"B0": 5, "B1": 5}}
+    assert stats["final_contest_ballot_counts"] == {"A": 11, "B": 10}
 
 
 def test_sheet_through_a_legacy_release(spark, case):
