@@ -248,16 +248,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """docs without all but one row of each group of near-duplicates: that with the smallest id (nulls last)."""
-    fp, root, first, n = (f"__near_{x}" for x in ("fp", "root", "first", "n"))
-    marked = with_fingerprint(docs, text, fp)
-    narrow = cut(marked.select(F.col(id_col).alias("id"), F.col(fp).alias("fp")))
-    groups = group_by_fingerprint(narrow, "id", radius).select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("first_id").alias(first), F.col("n_rows").alias(n))
-    joined = marked.join(groups, fp)
-    own = F.col(id_col).eqNullSafe(F.col(first))
-    single = joined.where(F.col(n) == 1)
-    several = joined.where((F.col(n) > 1) & own).dropDuplicates([root])
-    return single.unionAll(several).select(*docs.columns)
+    """docs without all but one row of each group of near-duplicates: that with the smallest id (nulls last).
+
+    Fingerprints are made once, and only ids come back to the documents. Where ids are null or not unique, documents
+    are told apart by their fingerprints as well, and of rows alike in both any one is kept."""
+    fp, root, first = (f"__near_{x}" for x in ("fp", "root", "first"))
+    narrow = cut(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text", "fp").drop("text"))
+    groups = group_by_fingerprint(narrow, "id", radius).select("fp", F.col("root").alias(root), F.col("first_id").alias(first))
+    if not narrow.groupBy("id").count().where("count > 1 or id is null").limit(1).count():
+        stay = narrow.join(groups, "fp").where(F.col("id") == F.col(first)).select(F.col("id").alias(first))
+        return docs.join(stay, F.col(id_col) == F.col(first), "left_semi")
+    joined = with_fingerprint(docs, text, fp).join(groups.withColumnRenamed("fp", fp), fp)
+    return joined.where(F.col(id_col).eqNullSafe(F.col(first))).dropDuplicates([root]).select(*docs.columns)
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
