@@ -17,8 +17,8 @@ NUMBER = r"^-?(\d+\.?\d*|\.\d+)$"
 
 
 def strip(c: Column) -> Column:
-    """Without white space of any kind around."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+    """Without white space of any kind around; null is empty. The usual cells need no regular expression."""
+    return F.when(c.isin("", "0", "1"), c).when(c.isNull(), "").otherwise(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
 
 
 def is_present(c: Column) -> Column:
@@ -74,9 +74,16 @@ def balance_count(cell: Column) -> Column:
     return F.when((own == "") | (own == "0"), F.lit(0)).otherwise(F.coalesce(own.try_cast("double").try_cast("bigint"), F.lit(1))).cast("long")
 
 
+def is_one(cell: Column) -> Column:
+    """Whether a cell reads as the whole number 1. Casts that fail are slow, so that none is tried here."""
+    own = strip(cell)
+    return F.when(own.isin("", "0", "1"), own == "1").otherwise(own.rlike(r"^\+?0*1$"))
+
+
 def typed_cell(cell: Column) -> Column:
     """number (null for blanks and texts) and text (as it was, where it is no whole number)."""
-    number = strip(cell).try_cast("bigint")
+    own = strip(cell)
+    number = F.when(own.rlike(r"^[+-]?\d+$"), own.try_cast("bigint"))
     return F.struct(number.alias("number"), F.when(number.isNull(), F.coalesce(cell, F.lit(""))).alias("text"))
 
 

@@ -23,15 +23,16 @@ def contest_picks(ballots: DataFrame, layout: Layout) -> DataFrame:
     """style, contest, pick for each contest on a ballot: the first column that is 1 (an overvote counts once), or null."""
     each = []
     for contest, own in layout.sorted_contests:
-        voted = F.filter(F.lit(own), lambda i: C.strip(F.get("cells", i)).try_cast("bigint") == 1)
+        voted = F.filter(F.lit(own), lambda i: C.is_one(F.get("cells", i)))
         each.append(F.struct(F.lit(contest).alias("contest"), F.get(voted, F.lit(0)).alias("pick"), F.exists(F.lit(own), lambda i: C.is_present(F.get("cells", i))).alias("present")))
     return ballots.select("style", F.inline(F.array(*each))).where("present").drop("present")
 
 
 def _shares(picks: DataFrame, layout: Layout, *by: str) -> DataFrame:
     columns = F.broadcast(layout.frame(picks.sparkSession))
-    eligible = picks.groupBy(*by, "contest").agg(F.count("*").alias("eligible"))
-    votes = picks.where("pick is not null").groupBy(*by, "contest", F.col("pick").alias("col_idx")).agg(F.count("*").alias("votes"))
+    counted = picks.groupBy(*by, "contest", F.col("pick").alias("col_idx")).agg(F.count("*").alias("votes"))  # one pass over ballots; both uses share its shuffle
+    eligible = counted.groupBy(*by, "contest").agg(F.sum("votes").alias("eligible"))
+    votes = counted.where("col_idx is not null")
     rows = eligible.join(columns, "contest").join(votes, [*by, "contest", "col_idx"], "left")
     votes = F.coalesce("votes", F.lit(0))
     return rows.select(*by, "contest", "choice", "col_idx", "eligible", votes.alias("votes"), (votes / F.col("eligible")).alias("prob"))

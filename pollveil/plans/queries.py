@@ -16,6 +16,7 @@ from pollveil.operators import styles as S
 from pollveil.operators import tally as T
 from pollveil.plans.model import Config
 from pollveil.plans.oracle import SELECTS
+from pollveil.plans.store import cut
 from pollveil.sources import lens, longform
 from pollveil.sources.synthetic import synthetic_case
 
@@ -43,7 +44,7 @@ class Case:
 
     @property
     def styled(self) -> DataFrame:
-        return self._once("styled", lambda: S.with_style(self.ballots, self.layout))
+        return self._once("styled", lambda: cut(S.with_style(self.ballots, self.layout)))
 
     @property
     def rare(self) -> DataFrame:
