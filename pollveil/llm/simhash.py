@@ -161,18 +161,17 @@ def near_pairs(fps: np.ndarray, n_home: int, radius: int) -> Iterator[tuple[np.n
 
 
 def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """For n positions, the smallest position that links reach."""
+    """For n positions, the smallest position that links reach. Only roots are moved, so that links of earlier batches
+    hold whatever later ones join."""
     root = np.arange(n)
     for a, b in pairs:
-        while True:
-            low = np.minimum(root[a], root[b])
-            if (root[a] == low).all() and (root[b] == low).all():
-                break
-            for x in (root[a], root[b], a, b):
+        while not (root[a] == root[b]).all():
+            own, other = root[a], root[b]
+            low = np.minimum(own, other)
+            for x in (own, other):
                 np.minimum.at(root, x, low)
-            root = root[root]
-        while not (root[root] == root).all():
-            root = root[root]
+            while not (root[root] == root).all():
+                root = root[root]
     return root
 
 

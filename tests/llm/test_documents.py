@@ -116,6 +116,23 @@ def test_tree_finds_all_links_among_close_fingerprints(spark, monkeypatch):
     assert all(len(g) == 1 for g in groups.values()) and len(groups) == len({got.get(x, x) for x in own})
 
 
+def test_forest_keeps_links_of_earlier_batches():
+    batches = [([3, 4], [2, 2]), ([3, 4], [1, 0])]
+    assert simhash.forest(5, ((np.array(a), np.array(b)) for a, b in batches)).tolist() == [0] * 5
+
+
+def test_forest_of_dense_clusters(monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 4)
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        centres = rng.integers(0, 1 << 63, 4)
+        fps = np.unique([int(c) ^ sum(1 << int(b) for b in rng.choice(20, 3, replace=False)) for c in centres for _ in range(60)]).astype(np.uint64)
+        root = simhash.forest(len(fps), simhash.near_pairs(fps, len(fps), 2))
+        want = plain_components(fps.tolist())
+        pairs = {(int(r), want[int(f)]) for r, f in zip(root, fps, strict=True)}
+        assert len(pairs) == len({r for r, _ in pairs}) == len({w for _, w in pairs})
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(1000, i) for i in range(1001, 1300)]
     rows = simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()
