@@ -11,7 +11,7 @@ from pollveil.llm.common import stash, table
 from pollveil.llm.decontaminate import keep_clean
 from pollveil.llm.langid import keep_identified
 from pollveil.llm.packing import digests, pack
-from pollveil.llm.simhash import keep_one
+from pollveil.llm.shingles import keep_one
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +20,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates."""
+    """Keeps the document with the smallest id of each group of near-duplicates: five words, similarity 0.8 or more."""
     return keep_one(docs)
 
 

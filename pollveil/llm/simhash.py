@@ -241,7 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     Null, empty and blank texts have fingerprint 0 and link like any other. Repeated ids keep their rows. A null id
     counts only where all of the group are null. An empty table gives no rows."""
     marked = cut(with_fingerprint(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))).drop("text"))
-    groups = group_by_fingerprint(marked)
+    groups = group_by_fingerprint(marked, radius=radius)
     hex_fp = F.lower(F.lpad(F.hex(marked.fp), 16, "0")).alias("fingerprint")
     return marked.join(groups, "fp").select("doc_id", hex_fp, F.col("first_id").alias("component_id"))
 
