@@ -114,7 +114,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFr
         for batch in batches:
             for i in range(0, batch.num_rows, STEP):
                 some = batch.slice(i, STEP)
-                ids = [np.concatenate([tok.encode(t).astype("<u4"), tail]) for t in some.column("text").to_pylist()]
+                ids = [np.concatenate([tok.encode_document(t).astype("<u4"), tail]) for t in some.column("text").to_pylist()]
                 sources = ["-" if s is None else f"={s}" for s in some.column("source").to_pylist()]
                 before = []
                 for s, x in zip(sources, ids, strict=True):

@@ -71,7 +71,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", fields: tuple[str, ...
                 values = [[v or "" for v in some.column(1 + k).to_pylist()] for k in range(len(fields))]
                 row, name, section, start, end, n, total = [], [], [], [], [], [], []
                 for r, texts in enumerate(zip(*values, strict=True)):
-                    ids = tok.encode(SEPARATOR.join(texts))
+                    ids = tok.encode_document(SEPARATOR.join(texts))
                     sizes = []
                     for k, text in enumerate(texts):
                         lines = text.split("\n")
