@@ -140,6 +140,10 @@ SELECTS: dict[str, tuple[int | None, int, str]] = {
     "exclude_borrowed_pool": (5, 10, "SELECT sig, count(*) AS n FROM pool WHERE n >= 10 GROUP BY sig"),
 }
 
+#: The sliced queries over all contests.
+WHOLE_SUFFIX = "_all"
+WHOLE: dict[str, tuple[int | None, int, str]] = {name + WHOLE_SUFFIX: (None, k, select) for name, (line, k, select) in SELECTS.items() if line is not None}
+
 
 def oracle_sql() -> dict[str, str]:
-    return {name: prelude(line, k) + select for name, (line, k, select) in SELECTS.items()} | {"synthetic_case": SYNTHETIC}
+    return {name: prelude(line, k) + select for name, (line, k, select) in (SELECTS | WHOLE).items()} | {"synthetic_case": SYNTHETIC}

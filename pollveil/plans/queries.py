@@ -15,7 +15,7 @@ from pollveil.operators import release as R
 from pollveil.operators import styles as S
 from pollveil.operators import tally as T
 from pollveil.plans.model import Config
-from pollveil.plans.oracle import SELECTS
+from pollveil.plans.oracle import SELECTS, WHOLE, WHOLE_SUFFIX
 from pollveil.plans.store import cut
 from pollveil.sources import lens, longform
 from pollveil.sources.synthetic import synthetic_case
@@ -179,36 +179,36 @@ APPLY: dict[str, Callable[[Case], DataFrame]] = {
 
 def _release(mode: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        c = Case(spark, sf_dir, 5, 10)
+        c = Case(spark, sf_dir, None, 10)
         return R.anonymize(c.ballots, c.layout, Config(mode=mode)).output.select("cvr_number", "tabulator", "batch", "record", "imprinted", "counting_group", "style", "ballot_type", _text())
 
     return run
 
 
 def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = Case(spark, sf_dir, 4, 15)
+    c = Case(spark, sf_dir, None, 15)
     picked = B.cover_contests(c.pool, c.layout, c.needs, c.counts, c.k)
     return spark.createDataFrame([(i, p) for i, p in enumerate(picked)], "pick int, ord long")
 
 
 def _contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = Case(spark, sf_dir, 5, 10)
+    c = Case(spark, sf_dir, None, 10)
     winners = _first_winners(c)
     picked = B.pick_contrast(B.contrast_scores(c.pool, c.layout, winners, c.k), winners, c.k, "spec")
     return spark.createDataFrame([(i, p) for i, p in enumerate(picked)], "pick int, ord long")
 
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    max_line, k, _ = SELECTS[name]
+    max_line, k, _ = (SELECTS | WHOLE)[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = APPLY[name](Case(spark, sf_dir, max_line, k))
+        found = APPLY[name.removesuffix(WHOLE_SUFFIX)](Case(spark, sf_dir, max_line, k))
         return found.withColumns({c: F.col(c).cast("long") for c, kind in found.dtypes if kind == "int" and c in ("col_idx", "i", "j")})  # as wide as the SQL's numbers
 
     return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {name: _query(name) for name in SELECTS}
+    found = {name: _query(name) for name in SELECTS | WHOLE}
     found["synthetic_case"] = lambda spark, sf_dir: synthetic_case(spark).select("ord", "cvr_number", "style", _text())
     return found | {"anonymize_spec": _release("spec"), "anonymize_compat": _release("compat"), "coverage_loop": _coverage, "contrast_loop": _contrast}
