@@ -1,11 +1,17 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, exactly.
+"""Pairs of documents whose sets of word shingles are similar (Jaccard), found and checked exactly.
 
-1. A document is the set of its hashed shingles; equal sets are one node from here on.
+SimHash links of a few bits miss most pairs of similarity 0.8; this module completes them for `simhash.keep_one`.
+
+1. A document is the set of its hashed shingles; equal sets are one node (`key`).
 2. Two sets of similarity s share a shingle among the first n - ceil(s n) + 1 of each, in any order that is the same for
    all (prefix filter). Shingles that a sample finds often come last; the sample decides only the cost.
-3. Nodes with a shingle in common are compared with the group's first and with their neighbour by size; what these
-   links leave in different components is compared in full. Sizes and positions rule out pairs that cannot be similar.
-4. Every candidate is checked on the whole sets, and components of links are groups."""
+3. Only prefixes are shuffled, packed by buckets of the hash. Nodes with a shingle in common are paired with the one
+   whose SimHash is nearest to the group's majority (of edited copies that is the original, or close to it); groups of
+   the same nodes are one. Nodes that these pairs, once checked, leave outside a group's largest component are compared
+   with all others of the group. Sizes and positions rule out pairs that cannot be similar.
+4. Sketches of SKETCH_BITS bits, each the parity of the shingles that fall on it, differ in no more bits than the sets do
+   in shingles: pairs whose sketches differ too much are out.
+5. Every other pair is checked on the whole sets, made again from the texts of the nodes in question alone."""
 
 from __future__ import annotations
 
@@ -17,24 +23,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pollveil.llm.common import cut, grown_partitions, stash
-from pollveil.llm.simhash import components
 
 SHINGLE_WORDS, SEED = 5, 42
 #: Similarity as a fraction, so that the bounds are whole numbers.
 SIMILAR = (4, 5)
 #: Documents whose shingles are counted for the order, and shingles that the order tells apart at most (4 MB).
-SAMPLE, MAX_FREQUENT = 1 << 16, 1 << 18
-#: Keys that are broadcast at most.
-BROADCAST_ROWS = 200_000
+SAMPLE, MAX_FREQUENT = 1 << 13, 1 << 18
+#: Postings of a bucket, about (20 MB in a task); postings that a task packs at once.
+BUCKET_POSTINGS, PACK_POSTINGS, PACK_DOCUMENTS = 1 << 20, 1 << 19, 1 << 16
+#: Keys that are broadcast at most (16 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
+STEP = 256
+SKETCH_BITS = 1024
+#: Hashes whose bits are added up at once.
+CHUNK = 1 << 16
+
+
+def hashed(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
+    """XXH64 of the shingles of a text, repeats included. A shorter text is one shingle; null, empty or blank: none."""
+    import xxhash
+
+    own = (text or "").encode().lower().split()  # bytes: A-Z only, and white space is \x20 \x09-\x0D
+    grams = zip(*(own[i:] for i in range(words)), strict=False) if len(own) >= words else [own] if own else []
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(b" ".join(g), seed) for g in grams), np.uint64)
 
 
-def shingles(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
-    """The set of hashed shingles, sorted. A shorter text is one shingle; null, empty or blank: none."""
+def majority(h: np.ndarray) -> int:
+    """The unsigned 64-bit number of the bits that are set in over half of h; 0 for no hashes."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(h), CHUNK):
+        part = h[at : at + CHUNK].astype("<u8")
+        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * total > len(h), bitorder="little").tobytes(), "little")
+
+
+def set_key(own: np.ndarray) -> int:
+    """A signed number for a set of hashes (sorted, unique)."""
     import xxhash
 
-    own = (text or "").encode().lower().split()
-    grams = zip(*(own[i:] for i in range(words)), strict=False) if len(own) >= words else [own] if own else []
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(g), SEED) for g in grams), np.uint64))
+    return int(np.uint64(xxhash.xxh3_64_intdigest(own.astype("<u8").tobytes())).view(np.int64))
+
+
+def sketch(own: np.ndarray) -> bytes:
+    odd = np.bincount((own & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def needed(a, b):
@@ -43,71 +76,143 @@ def needed(a, b):
     return -(-up * (a + b) // (up + down))
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                some = batch.slice(i, 256)
-                own = [shingles(t) for t in some.column("text").to_pylist()]
-                data = [x.astype("<u8").tobytes() for x in own]
-                keys = np.array([xxhash.xxh3_64_intdigest(d) for d in data], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(keys), pa.array([len(x) for x in own], pa.int64()), pa.array(data, pa.binary())], ["id", "key", "n", "hashes"])
-
-    return docs.mapInArrow(make, f"id {dict(docs.dtypes)['id']}, key long, n long, hashes binary")
+def prefix_size(n):
+    """Shingles of a set of n that are in its prefix."""
+    up, down = SIMILAR
+    return n - -(-up * n // down) + 1
 
 
-def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are in three sampled documents or more, sorted, and how many each is in."""
-    rows = sets.count()
+def _frequent(docs: DataFrame, rows: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are in two sampled documents or more, sorted, and how many each is in."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                own = b"".join(batch.column(0).slice(i, 256).to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(own, np.int64))], ["h"])
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashed(t.as_py(), words)).view(np.int64))], ["h"])
 
-    some = sets.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(1, rows))))
-    found = some.select("hashes").mapInArrow(explode, "h long").groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(MAX_FREQUENT).toArrow()
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(1, rows)))).dropDuplicates(["text"])
+    found = some.select("text").mapInArrow(explode, "h long").groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(MAX_FREQUENT).toArrow()
     h, n = found.column("h").to_numpy().view(np.uint64), found.column("count").to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
 
 
-def _prefixes(sets: DataFrame, frequent: np.ndarray, count: np.ndarray) -> DataFrame:
-    """h, key, n, pos: the shingles of each set's prefix. Copies in a task are skipped while they are remembered."""
-    up, down = SIMILAR
+def _packed(docs: DataFrame, frequent: np.ndarray, count: np.ndarray, buckets: int, words: int) -> DataFrame:
+    """The prefixes of all sets by bucket of the hash: bucket, h (8 bytes each), at and pos (2 bytes each), key, n and fp
+    of the documents that `at` counts. Copies in a task are skipped while they are remembered."""
+
+    def pack(own: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
+        h = np.concatenate([p for *_, p in own])
+        sizes = np.array([len(p) for *_, p in own])
+        at = np.repeat(np.arange(len(own)), sizes)
+        pos = np.minimum(np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes), 65535)  # a smaller one rules out less
+        key, n, fp = np.array([k for k, *_ in own], np.int64), np.array([n for _, n, *_ in own], np.uint32), np.array([f for _, _, f, _ in own], np.uint64)
+        bucket = (h >> np.uint64(40)).astype(np.int64) % buckets
+        order = np.argsort(bucket, kind="stable")
+        ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+        rows: list[tuple] = []
+        for b, (i, j) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+            if i < j:
+                some = order[i:j]
+                docs_here, local = np.unique(at[some], return_inverse=True)
+                rows.append((b, h[some].tobytes(), local.astype(np.uint16).tobytes(), pos[some].astype(np.uint16).tobytes(), key[docs_here].tobytes(), n[docs_here].tobytes(), fp[docs_here].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 6), strict=True)], ["bucket", "h", "at", "pos", "key", "n", "fp"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held: list[tuple[int, int, int, np.ndarray]] = []
+        size = 0
         for batch in batches:
-            h, key, n, pos = [], [], [], []
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if k in seen:
+            for text in batch.column(0):
+                every = hashed(text.as_py(), words)
+                own = np.unique(every)
+                k = set_key(own)
+                if k in seen or not len(own):
                     continue
                 if len(seen) >= 1 << 18:
                     seen.clear()
                 seen.add(k)
-                own = np.frombuffer(data.as_buffer(), np.uint64)
-                if not len(own):
-                    continue
-                size = len(own) - -(-up * len(own) // down) + 1
+                n = len(own)
                 if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
-                    own = own[np.argsort(np.where(frequent[at] == own, count[at], 0), kind="stable")]
-                h.append(own[:size])
-                key.append(np.full(size, k))
-                n.append(np.full(size, len(own)))
-                pos.append(np.arange(size))
-            if h:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), *(pa.array(np.concatenate(x).astype(np.int64)) for x in (key, n, pos))], ["h", "key", "n", "pos"])
+                    place = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
+                    own = own[np.argsort(np.where(frequent[place] == own, count[place], 0), kind="stable")]
+                held.append((k, n, majority(every), own[: prefix_size(n)]))
+                size += len(held[-1][3])
+                if size >= PACK_POSTINGS or len(held) >= PACK_DOCUMENTS:
+                    yield pack(held)
+                    held, size = [], 0
+        if held:
+            yield pack(held)
 
-    return sets.select("key", "hashes").mapInArrow(emit, "h long, key long, n long, pos long")
+    return docs.select("text").mapInArrow(emit, "bucket int, h binary, at binary, pos binary, key binary, n binary, fp binary")
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of sorted batches (h first), cut only between values of h, rows alike in h and key once."""
+def _may_link(n, pos, i, j) -> np.ndarray:
+    return np.minimum(n[i] - pos[i], n[j] - pos[j]) >= needed(n[i], n[j])
+
+
+def _search(bucket: pa.Table) -> pa.Table:
+    """Pairs (gid null) of each group's centre with the others, and the rows (b null) of groups of three or more: gid,
+    a, n, pos. A group's number is made of its nodes, so that groups of the same nodes are one."""
+    parts = []
+    for h, at, pos, key, n, fp in zip(*(bucket.column(c).to_pylist() for c in ("h", "at", "pos", "key", "n", "fp")), strict=True):
+        at = np.frombuffer(at, np.uint16)
+        parts.append((np.frombuffer(h, np.uint64), np.frombuffer(key, np.int64)[at], np.frombuffer(n, np.uint32)[at].astype(np.int64), np.frombuffer(pos, np.uint16).astype(np.int64), np.frombuffer(fp, np.uint64)[at]))
+    h, key, n, pos, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((key, h))
+    keep = np.concatenate([[True], (np.diff(h[order]) != 0) | (np.diff(key[order]) != 0)])
+    h, key, n, pos, fp = (x[order][keep] for x in (h, key, n, pos, fp))
+    begins = np.concatenate([[True], h[1:] != h[:-1]])
+    shared = ~begins | np.append(~begins[1:], False)  # in a group of two or more
+    h, key, n, pos, fp, begins = (x[shared] for x in (h, key, n, pos, fp, begins))
+    first = np.nonzero(begins)[0]
+    group = np.cumsum(begins) - 1
+    size = np.bincount(group)
+    centre = first[group]
+    if len(first):
+        ones = np.add.reduceat(np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1), first, axis=0, dtype=np.int32)
+        middle = np.packbits(2 * ones > size[:, None], axis=1).view(np.uint64)[:, 0]
+        order = np.lexsort((key, np.bitwise_count(fp ^ middle[group]), group))
+        centre = order[first][group]
+    j = np.nonzero(centre != np.arange(len(h)))[0]
+    i = centre[j]
+    ok = _may_link(n, pos, i, j)
+    pairs = np.unique(np.stack([np.minimum(key[i[ok]], key[j[ok]]), np.maximum(key[i[ok]], key[j[ok]])]), axis=1)
+
+    mixed = (key.view(np.uint64) ^ (key.view(np.uint64) >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    gid = np.add.reduceat(mixed, first).view(np.int64) if len(first) else np.zeros(0, np.int64)
+    wide = np.nonzero(size > 2)[0]
+    _, one, same = np.unique(np.stack([gid[wide], size[wide]]), axis=1, return_index=True, return_inverse=True)
+    # Nodes stand in the order of their keys, so that equal groups are equal place by place.
+    members = np.nonzero(size[group] > 2)[0]
+    rank = members - first[group[members]]
+    of = np.full(len(size), -1)
+    of[wide] = same
+    begin = np.cumsum(size[wide][one]) - size[wide][one]
+    slot = begin[of[group[members]]] + rank
+    total = int(size[wide][one].sum())
+    low = np.full(total, np.iinfo(np.int64).max)
+    np.minimum.at(low, slot, pos[members])
+    k, m, g = (np.zeros(total, np.int64) for _ in range(3))
+    k[slot], m[slot], g[slot] = key[members], n[members], gid[group[members]]
+    blank, none = pa.nulls(pairs.shape[1], pa.int64()), pa.nulls(total, pa.int64())
+    columns = [(blank, g), (pairs[0], k), (pairs[1], none), (blank, m), (blank, low)]
+    return pa.table({c: pa.concat_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())]) for c, (x, y) in zip(("gid", "a", "b", "n", "pos"), columns, strict=True)})
+
+
+def candidates(docs: DataFrame, marked: DataFrame, words: int = SHINGLE_WORDS) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of keys to check first, and groups (gid, key, n, pos) whose nodes are to be compared in full where
+    those pairs leave them apart. docs has `text`; marked has a row with `n`, the size of the set, for each of docs."""
+    size = marked.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * SIMILAR[0] / SIMILAR[1]) + 1), F.lit(0)).alias("postings")).first()
+    buckets = grown_partitions(docs, int(size.postings), BUCKET_POSTINGS)
+    packed = _packed(docs, *_frequent(docs, size.rows, words), buckets, words)
+    found = stash(packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_search, "gid long, a long, b long, n long, pos long"))
+    groups = found.where("gid is not null").groupBy("gid", F.col("a").alias("key")).agg(F.max("n").alias("n"), F.min("pos").alias("pos"))
+    return found.where("gid is null").select("a", "b"), groups
+
+
+def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of sorted batches, cut only between values of the first column."""
     carry: list[np.ndarray] | None = None
     for batch in batches:
         own = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
@@ -115,113 +220,95 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
             own = [np.concatenate(x) for x in zip(carry, own, strict=True)]
         if not len(own[0]):
             continue
-        cut_at = np.searchsorted(own[0], own[0][-1])
+        cut_at = int(np.searchsorted(own[0], own[0][-1]))
         carry = [x[cut_at:] for x in own]
         if cut_at:
-            yield _once([x[:cut_at] for x in own])
+            yield [x[:cut_at] for x in own]
     if carry is not None and len(carry[0]):
-        yield _once(carry)
+        yield carry
 
 
-def _once(own: list[np.ndarray]) -> list[np.ndarray]:
-    keep = np.concatenate([[True], (own[0][1:] != own[0][:-1]) | (own[1][1:] != own[1][:-1])])
-    return [x[keep] for x in own]
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a group that are in different components and may be similar by their sizes, positions and sketches.
+    Rows: gid, key, n, pos, root, sketch (its 64-bit words in columns of their own); sorted by gid, n."""
+    up, down = SIMILAR
+    for gid, key, n, pos, root, *words in _sorted_groups(batches):
+        sketches = np.stack(words, axis=1).view(np.uint64)  # bits of a negative number would not be counted
+        ends = np.append(np.nonzero(np.diff(gid))[0] + 1, len(gid)).tolist()
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for low, high in zip([0, *ends[:-1]], ends, strict=True):
+            names, counts = np.unique(root[low:high], return_counts=True)
+            home = root[low:high] == names[counts.argmax()]
+            own = n[low:high]
+            for i in np.nonzero(~home)[0].tolist():
+                a, b = np.searchsorted(own, -(-up * own[i] // down)), np.searchsorted(own, down * own[i] // up, "right")
+                j = np.arange(a, b)
+                j = j[(home[a:b] | (j > i)) & (root[low + a : low + b] != root[low + i])]
+                j = j[_may_link(n, pos, low + i, low + j)]
+                apart = np.bitwise_count(sketches[low + j] ^ sketches[low + i]).sum(axis=1, dtype=np.int64)
+                j = low + j[apart <= own[i] + own[j] - 2 * needed(own[i], own[j])]
+                if len(j):
+                    found.append((np.full(len(j), key[low + i]), key[j]))
+        if found:
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+
+def across(groups: DataFrame, roots: DataFrame, marked: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each group's nodes that roots (node, root) leave in different components and that may be similar."""
+    own = groups.join(roots.withColumnRenamed("node", "key"), "key", "left").select("gid", "key", "n", "pos", F.coalesce("root", "key").alias("root"))
+    mixed = own.groupBy("gid").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("gid")
+    own = cut(own.join(mixed, "gid", "left_semi"))
+    parts = grown_partitions(own, own.count(), 1 << 18)
+    nodes = own.select("key").distinct()
+    sketches = marked.join(nodes, "key", "left_semi").groupBy("key").agg(F.first("sketch").alias("sketch"))
+    words = [F.conv(F.hex(F.substring("sketch", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"s{i}") for i in range(SKETCH_BITS // 64)]
+    rows = own.join(sketches.select("key", *words), "key").select("gid", "key", "n", "pos", "root", *(f"s{i}" for i in range(SKETCH_BITS // 64)))
+    return rows.repartition(parts, "gid").sortWithinPartitions("gid", "n", "key").mapInArrow(_across, "a long, b long").distinct()
+
+
+def _sketched(pairs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches and sizes do not rule them out; loses no similar pair."""
+    own = marked.groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    both = pairs.join(own.select(F.col("key").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("x")), "a")
+    both = both.join(own.select(F.col("key").alias("b"), "n", F.col("sketch").alias("y")), "b").select("a", "b", "m", "n", "x", "y")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, n = batch.column("m").to_numpy(), batch.column("n").to_numpy()
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64) for c in ("x", "y"))
+            keep = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= m + n - 2 * needed(m, n)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
+    return both.mapInArrow(check, "a long, b long")
 
-def _may_link(n, pos, i, j) -> np.ndarray:
-    least = needed(n[i], n[j])
-    return np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least
-
-
-def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (h null) with the group's first and the neighbour, and the rows (b null) of groups of three or more."""
-    for h, key, n, pos in _groups(batches):
-        begins = np.concatenate([[True], h[1:] != h[:-1]])
-        first = np.nonzero(begins)[0][np.cumsum(begins) - 1]
-        sizes = np.bincount(first, minlength=len(h))[first]
-        j = np.nonzero(~begins)[0]
-        i = np.concatenate([first[j], j - 1])
-        j = np.concatenate([j, j])
-        ok = _may_link(n, pos, i, j)
-        i, j = i[ok], j[ok]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(i), pa.int64()), pa.array(np.minimum(key[i], key[j])), pa.array(np.maximum(key[i], key[j])), pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.int64())], ["h", "a", "b", "n", "pos"])
-        more = sizes > 2
-        yield pa.RecordBatch.from_arrays([pa.array(h[more]), pa.array(key[more]), pa.nulls(int(more.sum()), pa.int64()), pa.array(n[more]), pa.array(pos[more])], ["h", "a", "b", "n", "pos"])
-
-
-def _other_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of a group that are in different components and may link."""
-    up, down = SIMILAR
-    for h, key, n, pos, root in _groups(batches):
-        begins = np.concatenate([[True], h[1:] != h[:-1]])
-        group = np.cumsum(begins) - 1
-        mixed = np.bincount(group, root != root[np.nonzero(begins)[0]][group]) > 0
-        i, step = np.nonzero(mixed[group])[0], 1
-        while len(i):
-            i = i[i + step < len(h)]
-            j = i + step
-            i = i[(h[i] == h[j]) & (down * n[i] >= up * n[j])]  # sorted by n: later ones are larger still
-            j = i + step
-            ok = (root[i] != root[j]) & _may_link(n, pos, i, j)
-            a, b = key[i[ok]], key[j[ok]]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-            step += 1
-
-
-def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose whole sets are similar."""
+
+def similar(pairs: DataFrame, docs: DataFrame, marked: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """The pairs (a, b) of keys whose whole sets are similar, as (u, v). docs has `text`; marked key, n and sketch."""
     up, down = SIMILAR
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    pairs = cut(_sketched(pairs, marked))
     keys = cut(pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct())
     few = keys.count() <= BROADCAST_ROWS
-    own = cut(sets.select("key", "hashes").join(F.broadcast(keys) if few else keys, "key", "left_semi").dropDuplicates(["key"]))
-    both = pairs.join(own.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a").join(own.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b")
 
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, STEP):
+                own = [np.unique(hashed(t.as_py(), words)) for t in batch.column(0).slice(i, STEP)]
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in own], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in own], pa.binary())], ["key", "hashes"])
+
+    sets = docs.select("text").mapInArrow(make, "key long, hashes binary").join(F.broadcast(keys) if few else keys, "key", "left_semi")
+    sets = stash(sets.dropDuplicates(["key"]))
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(down * both >= up * (len(x) + len(y) - both))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(down * shared >= up * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], ["u", "v"])
 
-    return cut(both.select("a", "b", "x", "y").mapInArrow(similar, "u long, v long"))
-
-
-def links(sets: DataFrame) -> DataFrame:
-    """Edges (u, v) that join the same keys as all pairs of similar sets do."""
-    tokens = _prefixes(sets, *_frequent(sets))
-    parts = grown_partitions(sets, 1, 1)
-    found = stash(tokens.repartition(parts, "h").sortWithinPartitions("h", "n", "key").mapInArrow(_first_pairs, "h long, a long, b long, n long, pos long"))
-    first = _checked(cut(found.where("h is null").select("a", "b").distinct()), sets)
-    roots = components(first).withColumnRenamed("node", "a")
-    left = found.where("h is not null").select("h", "a", "n", "pos").join(roots, "a", "left").select("h", F.col("a").alias("key"), "n", "pos", F.coalesce("root", "a").alias("root"))
-    pairs = cut(left.repartition(parts, "h").sortWithinPartitions("h", "n", "key").mapInArrow(_other_pairs, "a long, b long").distinct())
-    return first.unionAll(_checked(pairs, sets))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without all but one row of each group of near-duplicates: that with the smallest id (nulls last).
-
-    Texts without a word are copies of each other. Where ids are null or not unique, documents are told apart by their
-    sets as well, and of rows alike in both any one is kept."""
-    key, root, first = (f"__near_{x}" for x in ("key", "root", "first"))
-    sets = stash(_sets(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))))
-    own = cut(sets.groupBy("key").agg(F.min("id").alias("low")))
-    found = components(links(sets))
-    rooted = cut(own.join(found, own.key == found.node, "left").select("key", "low", F.coalesce("root", "key").alias(root)))
-    groups = rooted.select("key", root).join(rooted.groupBy(root).agg(F.min("low").alias(first)), root)
-    if not sets.groupBy("id").count().where("count > 1 or id is null").limit(1).count():
-        stay = rooted.groupBy(root).agg(F.min("low").alias(first)).select(first)
-        return docs.join(stay, F.col(id_col) == F.col(first), "left_semi")
-
-    @F.pandas_udf("long")
-    def key_of(texts):
-        import pandas as pd
-        import xxhash
-
-        return pd.Series(np.array([xxhash.xxh3_64_intdigest(shingles(t).astype("<u8").tobytes()) for t in texts], np.uint64).view(np.int64))
-
-    joined = docs.withColumn(key, key_of(F.col(text))).join(groups.withColumnRenamed("key", key), key)
-    return joined.where(F.col(id_col).eqNullSafe(F.col(first))).dropDuplicates([root]).select(*docs.columns)
+    return cut(both.select("a", "b", "x", "y").mapInArrow(check, "u long, v long"))

@@ -25,34 +25,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pollveil.llm.common import cut, grown_partitions, table
+from pollveil.llm import shingles
+from pollveil.llm.common import cut, grown_partitions, stash, table
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 2
 #: Fingerprints at home in a shard, about; most shards; sampled fingerprints for each shard.
 SHARD_ROWS, MAX_SHARDS, SAMPLE_PER_SHARD = 4096, 4096, 32
 #: Below so many fingerprints a shard's own tree compares them all.
 BUCKET = 256
-#: Shingles hashed before their bits are added up.
-CHUNK = 1 << 16
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
     """The unsigned 64-bit fingerprint of a whole text. Null, empty or blank: 0."""
-    import xxhash
-
-    own = (text or "").encode().lower().split()  # bytes: A-Z only, and white space is \\x20 \\x09-\\x0D
-    if not own:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    n = max(1, len(own) - words + 1)
-    total = np.zeros(64, np.int64)
-    for at in range(0, n, CHUNK):
-        part = own[at : min(at + CHUNK, n) + words - 1]
-        grams = zip(*(part[i:] for i in range(words)), strict=False) if len(own) >= words else [part]
-        h = np.array([digest(b" ".join(g), seed) for g in grams], "<u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * total > n, bitorder="little")
-    return int.from_bytes(bits.tobytes(), "little")
+    return shingles.majority(shingles.hashed(text, words, seed))
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", to: str = "fp", words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
@@ -246,18 +231,70 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return marked.join(groups, "fp").select("doc_id", hex_fp, F.col("first_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """docs without all but one row of each group of near-duplicates: that with the smallest id (nulls last).
+def _marked(docs: DataFrame, words: int) -> DataFrame:
+    """docs (id, text) -> id, key (of the set of shingles), n (its size), sketch (shingles.sketch), fp (fingerprint of the same
+    shingles)."""
 
-    Fingerprints are made once, and only ids come back to the documents. Where ids are null or not unique, documents
-    are told apart by their fingerprints as well, and of rows alike in both any one is kept."""
-    fp, root, first = (f"__near_{x}" for x in ("fp", "root", "first"))
-    narrow = cut(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text", "fp").drop("text"))
-    groups = group_by_fingerprint(narrow, "id", radius).select("fp", F.col("root").alias(root), F.col("first_id").alias(first))
-    if not narrow.groupBy("id").count().where("count > 1 or id is null").limit(1).count():
-        stay = narrow.join(groups, "fp").where(F.col("id") == F.col(first)).select(F.col("id").alias(first))
-        return docs.join(stay, F.col(id_col) == F.col(first), "left_semi")
-    joined = with_fingerprint(docs, text, fp).join(groups.withColumnRenamed("fp", fp), fp)
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, n, sketch, fp = [], [], [], []
+            for t in batch.column("text"):
+                h = shingles.hashed(t.as_py(), words)
+                own = np.unique(h)
+                key.append(shingles.set_key(own))
+                n.append(len(own))
+                sketch.append(shingles.sketch(own))
+                fp.append(shingles.majority(h))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(sketch, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64))], ["id", "key", "n", "sketch", "fp"])
+
+    return docs.mapInArrow(mark, f"id {dict(docs.dtypes)['id']}, key long, n long, sketch binary, fp long")
+
+
+def similar_groups(docs: DataFrame, words: int = shingles.SHINGLE_WORDS, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+    """For docs (id, text): its rows (id, key), and (key, root): keys of one root are joined by pairs of sets of
+    `words` shingles whose Jaccard similarity is shingles.SIMILAR or more. Keys that are alone have no row.
+
+    Fingerprints within the radius, found by vantage-point trees, and shingle prefixes propose pairs; each is checked on
+    the whole sets. Fingerprints alone would miss most: 64 bits put a similarity of 0.8 up to a dozen bits apart, and no
+    tree prunes at that radius."""
+    docs = docs.select("id", F.col("text").cast("string").alias("text"))
+    marked = stash(_marked(docs, words))
+    fps = cut(marked.groupBy("fp").agg(F.min("key").alias("key")))
+    close = links(fps, radius).join(fps.select(F.col("fp").alias("u"), F.col("key").alias("a")), "u").join(fps.select(F.col("fp").alias("v"), F.col("key").alias("b")), "v").select("a", "b")
+    alike = marked.join(fps.select("fp", F.col("key").alias("a")), "fp").select("a", F.col("key").alias("b")).where("a <> b")
+    pairs, groups = shingles.candidates(docs, marked, words)
+    edges = shingles.similar(close.unionAll(alike).unionAll(pairs), docs, marked, words)
+    roots = components(edges)
+    more = cut(shingles.across(groups, roots, marked))
+    if more.limit(1).count():
+        found = shingles.similar(more, docs, marked, words)
+        if found.limit(1).count():
+            roots = components(edges.unionAll(found))
+    return marked.select("id", "key"), roots.withColumnRenamed("node", "key")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = shingles.SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+    """docs without all but one row of each group of near-duplicates (similar_groups): that with the smallest id (nulls
+    last). The columns stay as they are, whatever their names.
+
+    Texts without a word (null, empty, blank) are copies of each other. Very long texts are taken whole. Where ids are
+    null or not unique, documents are told apart by their sets as well, and of rows alike in both any one is kept. An
+    empty table gives no rows."""
+    key, root, first = (f"__near_{x}" for x in ("key", "root", "first"))
+    rows, roots = similar_groups(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), words, radius)
+    own = rows.groupBy("key").agg(F.min("id").alias("low"))
+    rooted = cut(own.join(roots, "key", "left").select("key", "low", F.coalesce("root", "key").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("low").alias("first"))
+    if not rows.groupBy("id").count().where("count > 1 or id is null").limit(1).count():
+        gone = cut(rows.join(rooted.join(least, "root").select("key", "first"), "key").where("id <> first").select(F.col("id").alias(first)))
+        return docs.join(F.broadcast(gone) if gone.count() <= shingles.BROADCAST_ROWS else gone, F.col(id_col) == F.col(first), "left_anti")
+
+    @F.pandas_udf("long")
+    def key_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles.set_key(np.unique(shingles.hashed(t, words))) for t in texts], dtype="int64")
+
+    known = rooted.join(least, "root").select(F.col("key").alias(key), F.col("root").alias(root), F.col("first").alias(first))
+    joined = docs.withColumn(key, key_of(F.col(text).cast("string"))).join(known, key)
     return joined.where(F.col(id_col).eqNullSafe(F.col(first))).dropDuplicates([root]).select(*docs.columns)
 
 

@@ -11,7 +11,8 @@ import pytest
 import corpus_pipeline
 from pollveil.llm import decontaminate, htmltext, langid, queries
 from tests.llm.helpers import EDGES, SF, documents
-from tests.llm.test_documents import check_packing, plain_components, plain_fingerprint
+from tests.llm.test_documents import check_packing
+from tests.llm.test_shingles import plain_kept
 
 
 def test_articles_of_the_pages(spark):
@@ -79,12 +80,7 @@ def test_stages_against_the_plain_ones(spark, tmp_path):
             names, _, close = model.predict([r.text for r in before])
             want = [r.doc_id for r, n, c in zip(before, names, close, strict=True) if n != "und" and not c]
         elif name == "near_dedup":
-            fps = {r.doc_id: plain_fingerprint(r.text) for r in before}
-            group = plain_components(fps.values())
-            low: dict = {}
-            for d, f in fps.items():
-                low[group[f]] = min(low.get(group[f], d), d)
-            want = low.values()
+            want = plain_kept(before)  # all pairs of sets of five words
         else:
             want = [r.doc_id for r in before if not any(i in decontaminate.normal(r.text) for i in items)]
         assert got == sorted(want)

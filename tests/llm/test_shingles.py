@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 import corpus_pipeline
-from pollveil.llm import shingles
+from pollveil.llm import shingles, simhash
 from tests.llm.helpers import EDGES, SF, documents
 
 
@@ -49,6 +49,21 @@ def test_near_dedup_has_the_recall_of_brute_force(spark, monkeypatch):
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == want
 
 
+def test_near_dedup_of_one_large_cluster(spark):
+    """Copies edited each on its own: similar to the original, few to each other; half the time the original is gone."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for keep_original in (True, False):
+        base = [f"{keep_original}{i}" for i in rng.integers(0, 400, 150)]
+        for k in range(150):
+            own = list(base)
+            for at in rng.integers(0, len(own), int(rng.integers(1, 4)) if k or not keep_original else 0):
+                own[at] = f"x{rng.integers(1 << 30)}"
+            rows.append((len(rows), " ".join(own), "en", "a"))
+    docs = documents(spark, [rows[i] for i in rng.permutation(len(rows))])
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == plain_kept(docs.collect())
+
+
 def test_a_few_words_of_a_text_replaced(spark):
     text = [f"w{i}" for i in range(300)]
     other = [f"x{i}" if i % 75 == 5 else w for i, w in enumerate(text)]
@@ -58,6 +73,6 @@ def test_a_few_words_of_a_text_replaced(spark):
 
 def test_near_dedup_at_the_edges(spark):
     docs = documents(spark, EDGES)
-    kept = shingles.keep_one(docs)
+    kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 5, 6, 7]
-    assert shingles.keep_one(docs.where("false")).count() == 0
+    assert simhash.keep_one(docs.where("false")).count() == 0
