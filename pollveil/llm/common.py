@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +57,25 @@ def stash(df: DataFrame) -> DataFrame:
     at = sc._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def running_sums(df: DataFrame, value: str, *keys: str, to: str) -> DataFrame:
+    """df with the sum of `value` over all rows before each in the order of the keys. Rows are dealt by ranges and sorted;
+    each partition adds the sums of those before it, so that no task sees all rows of a key."""
+    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    names, at = df.columns, df.columns.index(value)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            own = batch.column(at).to_numpy(zero_copy_only=False)
+            sums = total + np.cumsum(own) - own
+            total += int(own.sum())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(own), part, np.int32)), pa.array(sums, pa.int64())], [*names, "__part", to])
+
+    own = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+    summed = cut(dealt.mapInArrow(add, f"{own}, __part int, `{to}` long"))
+    sizes = sorted(tuple(r) for r in summed.groupBy("__part").agg(F.sum(value)).collect())  # a row for each partition
+    before = np.concatenate([[0], np.cumsum([n for _, n in sizes])])[: len(sizes)].tolist()
+    starts = df.sparkSession.createDataFrame([(p, int(b)) for (p, _), b in zip(sizes, before, strict=True)], "__part int, __before long")
+    return summed.join(F.broadcast(starts), "__part").withColumn(to, F.col(to) + F.col("__before")).drop("__part", "__before")
