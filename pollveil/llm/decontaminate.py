@@ -2,12 +2,16 @@
 
 Texts and benchmark items are lower-cased, with runs of white space as one blank. An item of m characters may occur
 with up to k = EDIT_RATE * m edits. Each edit spoils at most q of its m - q + 1 q-grams, and an occurrence keeps within
-2k + 1 diagonals (text position less item position). So a band of diagonals that holds an occurrence shares at least
-m - q + 1 - q k q-grams with the item. Bands are 2 (2k + 1) wide and overlap by half; those that meet the bound are
-verified by banded alignment. The filter loses no occurrence within the budget.
+2k + 1 diagonals (text position less item position). So a band of diagonals that holds an occurrence shares at least m + 1 - q (k + 1) q-grams with the
+item. q is Q, or for short items the largest number that leaves the bound at one or more: m / (k + 1). Bands are
+2 (2k + 1) wide and overlap by half; those that meet the bound are verified by banded alignment of the characters. The
+filter loses no occurrence within the budget. Its q-grams are of one byte a character, which may only add candidates.
 
-Items come in blocks of about BLOCK_CHARS characters; each block's index is broadcast and all texts pass by it, so that
-a larger benchmark means more passes and no larger index."""
+An item under WHOLE_WORDS characters (it may have no edits) counts where it stands as whole words: no letter, digit or
+underscore may touch it.
+
+Items come in blocks of about BLOCK_CHARS characters. A task holds the index of one block; a larger benchmark means more
+passes over the texts."""
 
 from __future__ import annotations
 
@@ -17,12 +21,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pollveil.llm.common import table
+from pollveil.llm.common import stash, table
 
 Q, EDIT_RATE = 8, 0.1
+WHOLE_WORDS = 10
 BLOCK_CHARS = 2_000_000
 #: Text positions searched at once, besides an overlap that holds any occurrence.
 CHUNK = 1 << 18
@@ -34,21 +39,32 @@ def normal(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
-def codes(text: str) -> np.ndarray:
-    """A byte for each character; equal characters have equal bytes."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+def points(text: str) -> np.ndarray:
+    """The characters as numbers."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def codes(c: np.ndarray) -> np.ndarray:
+    """A byte for each character, for q-grams; equal characters have equal bytes, and others may."""
     return ((c + (c >> 8) * 37) & 255).astype(np.uint8)
 
 
-def windows(c: np.ndarray) -> np.ndarray:
-    """The Q characters from each position on, as one number."""
-    n = len(c) - Q + 1
-    return np.ndarray((max(0, n),), "<u8", np.ascontiguousarray(c), strides=(1,)).copy() if n > 0 else np.zeros(0, np.uint64)
+def windows(c: np.ndarray, q: int = Q) -> np.ndarray:
+    """The q bytes from each position on, as one number."""
+    n = len(c) - q + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate([c, np.zeros(8 - q, np.uint8)])
+    return np.ndarray((n,), "<u8", np.ascontiguousarray(padded), strides=(1,)) & np.uint64((1 << 8 * q) - 1)
 
 
 def budget(m: int, rate: float = EDIT_RATE) -> int:
-    """Edits that an item of m characters may have: under the rate, and so few that one q-gram must survive."""
-    return max(0, min(int(rate * m), (m - Q) // Q))
+    """Edits that an item of m characters may have; one q-gram of it must survive them."""
+    return min(int(rate * m), max(0, m - 1))
+
+
+def gram_size(m: int, k: int) -> int:
+    return max(1, min(Q, m // (k + 1)))
 
 
 def align(item: np.ndarray, text: np.ndarray, low: int, high: int, k: int, anchored: bool = False) -> tuple[int, int]:
@@ -83,28 +99,27 @@ class Found:
     edits: int
 
 
-class Index:
-    """The q-grams of a block of items."""
+class Grams:
+    """The q-grams of items that have one q."""
 
-    def __init__(self, ids: list[int | None], texts: list[str | None], rate: float = EDIT_RATE):
-        own = [(i, t) for i, t in ((i, normal(t)) for i, t in zip(ids, texts, strict=True)) if t]
-        self.ids, self.texts = [i for i, _ in own], [t for _, t in own]
-        self.codes = [codes(t) for t in self.texts]
-        self.m = np.array([len(c) for c in self.codes], np.int64)
+    def __init__(self, q: int, own: list[tuple[int, str]], rate: float):
+        """own: each item's number and normal text."""
+        self.q, self.number, self.texts = q, [i for i, _ in own], [t for _, t in own]
+        self.points = [points(t) for t in self.texts]
+        self.m = np.array([len(c) for c in self.points], np.int64)
         self.k = np.array([budget(m, rate) for m in self.m.tolist()], np.int64)
-        self.need = self.m - Q + 1 - Q * self.k
-        self.short = [n for n, m in enumerate(self.m.tolist()) if m < Q]  # have no q-gram: sought as they are
-        grams = [windows(c) for c in self.codes]
-        gram = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+        self.need = self.m + 1 - q * (self.k + 1)
+        grams = [windows(codes(c), q) for c in self.points]
+        gram = np.concatenate(grams)
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        pos = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
+        pos = np.concatenate([np.arange(len(g)) for g in grams])
         order = np.argsort(gram, kind="stable")
         self.item, self.pos = item[order].astype(np.int32), pos[order].astype(np.int32)
         self.gram, self.first = np.unique(gram[order], return_index=True)
         self.count = np.diff(np.append(self.first, len(gram)))
         self.maybe = np.zeros(1 << HASH_BITS, bool)
         self.maybe[self._hash(self.gram)] = True
-        self.overlap = int(2 * (self.m + self.k).max(initial=0) + 8 * (self.k.max(initial=0) + 1) + Q)
+        self.overlap = int(2 * (self.m + self.k).max() + 8 * (self.k.max() + 1) + q)
 
     @staticmethod
     def _hash(gram: np.ndarray) -> np.ndarray:
@@ -112,10 +127,10 @@ class Index:
 
     def shared(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Item, its position and the text's position for each q-gram that a text and an item share."""
-        w = windows(c)
+        w = windows(c, self.q)
         at = np.nonzero(self.maybe[self._hash(w)])[0]
-        place = np.minimum(np.searchsorted(self.gram, w[at]), max(0, len(self.gram) - 1))
-        same = self.gram[place] == w[at] if len(self.gram) else np.zeros(len(at), bool)
+        place = np.minimum(np.searchsorted(self.gram, w[at]), len(self.gram) - 1)
+        same = self.gram[place] == w[at]
         at, place = at[same], place[same]
         n = self.count[place]
         entry = np.repeat(self.first[place], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -148,36 +163,54 @@ class Index:
         good = n >= self.need[key[0]]
         return [(int(i), int(b * (2 * self.k[i] + 1) - shift)) for i, b in key[:, good].T]
 
-    def verify(self, c: np.ndarray, item: int, low: int) -> Found | None:
+    def verify(self, c: np.ndarray, text: str, item: int, low: int) -> Found | None:
         m, k = int(self.m[item]), int(self.k[item])
         high = low + 2 * (2 * k + 1) - 1
         a, b = max(0, low), min(len(c), high + m + k)
         if a >= b:
             return None
-        at = c[a:b].tobytes().find(self.codes[item].tobytes())
+        at = text.find(self.texts[item], a, b)
         if at >= 0:  # no edits: the alignment would find the same
-            return Found(item, a + at, a + at + m, 0)
-        edits, end = align(self.codes[item], c[a:b], low - a, high - a, k)
+            return Found(self.number[item], at, at + m, 0)
+        if not k:
+            return None
+        edits, end = align(self.points[item], c[a:b], low - a, high - a, k)
         if edits > k:
             return None
         back = c[a : a + end][::-1]
-        _, length = align(self.codes[item][::-1], back, -k, k, k, anchored=True)
-        return Found(item, a + end - length, a + end, edits)
+        _, length = align(self.points[item][::-1], back, -k, k, k, anchored=True)
+        return Found(self.number[item], a + end - length, a + end, edits)
+
+    def find(self, text: str, c: np.ndarray, small: np.ndarray) -> list[Found]:
+        out = []
+        for base in range(0, max(0, len(c) - self.q + 1), CHUNK):
+            to = base + CHUNK + self.overlap
+            bands = self.bands(small[base:to])
+            if bands:
+                part, own = text[base:to], c[base:to]
+                got = [f for i, low in bands if (f := self.verify(own, part, i, low))]
+                out += [Found(f.item, f.start + base, f.end + base, f.edits) for f in got]
+        return out
+
+
+class Index:
+    """A block of items. Null and blank ones are left out."""
+
+    def __init__(self, ids: list[int | None], texts: list[str | None], rate: float = EDIT_RATE):
+        own = [(i, t) for i, t in ((i, normal(t)) for i, t in zip(ids, texts, strict=True)) if t]
+        self.ids, self.m, self.k = [i for i, _ in own], [len(t) for _, t in own], [budget(len(t), rate) for _, t in own]
+        by_q: dict[int, list[tuple[int, str]]] = {}
+        for n, (_, t) in enumerate(own):
+            by_q.setdefault(gram_size(self.m[n], self.k[n]), []).append((n, t))
+        self.grams = [Grams(q, of, rate) for q, of in sorted(by_q.items())]
 
     def find(self, text: str | None) -> list[Found]:
         """Occurrences of items in a normal text: of those that overlap, that with the fewest edits."""
         text = text or ""
-        out = []
-        for n in self.short:
-            at = text.find(self.texts[n])
-            while at >= 0:
-                out.append(Found(n, at, at + len(self.texts[n]), 0))
-                at = text.find(self.texts[n], at + len(self.texts[n]))
-        c = codes(text)
-        for base in range(0, max(0, len(c) - Q + 1), CHUNK):
-            part = c[base : base + CHUNK + self.overlap]
-            got = [f for i, low in self.bands(part) if (f := self.verify(part, i, low))]
-            out += [Found(f.item, f.start + base, f.end + base, f.edits) for f in got]
+        c = points(text)
+        small = codes(c)
+        out = [f for g in self.grams for f in g.find(text, c, small)]
+        out = [f for f in out if self.m[f.item] >= WHOLE_WORDS or not (_INSIDE.match(text[f.start - 1 : f.start]) or _INSIDE.match(text[f.end : f.end + 1]))]
         kept: list[Found] = []
         last: dict[int, list[Found]] = {}
         for f in sorted(out, key=lambda f: (f.edits, f.start, f.item)):
@@ -187,7 +220,7 @@ class Index:
         return sorted(kept, key=lambda f: (f.start, f.item))
 
 
-_WORD = re.compile(r"\S+")
+_WORD, _INSIDE = re.compile(r"\S+"), re.compile(r"\w")
 
 
 def places(raw: str, found: list[Found]) -> list[tuple[int, int]]:
@@ -224,32 +257,39 @@ def matcher(index: Index, spark: SparkSession):
     return of.asNondeterministic()  # else the optimizer has it run once more to filter empty arrays
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, text: Column, item_id: str = "item_id", item_text: str = "text", rate: float = EDIT_RATE) -> Column | None:
-    """An array of occurrences of benchmark items in each text. Null texts have none; null and blank items match
-    nothing. None: there are no items."""
+def blocks(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", rate: float = EDIT_RATE) -> Iterator:
+    """A column function (text -> MATCHES) for each block of items; none where the benchmark has no text."""
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null")
     chars = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("n")).first().n
-    blocks = -(-chars // BLOCK_CHARS)
-    found = []
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).orderBy("i", "t").collect()  # a block
-        found.append(matcher(Index([r.i for r in rows], [r.t for r in rows], rate), docs.sparkSession)(text))
-    return F.concat(*found) if found else None
+    n = -(-chars // BLOCK_CHARS)
+    for b in range(n):
+        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).orderBy("i", "t").collect()  # a block
+        yield matcher(Index([r.i for r in rows], [r.t for r in rows], rate), docs.sparkSession)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", rate: float = EDIT_RATE) -> DataFrame:
-    """doc_id, item_id, start, end (characters of the text), edits, item_chars: a row for each occurrence."""
-    found = matches(docs, benchmark, F.col("text"), rate=rate)
+    """doc_id, item_id, start, end (characters of the text), edits, item_chars: a row for each occurrence.
+
+    Null and empty texts have none; null and blank items match nothing; texts are searched whole, however long. Repeated
+    documents and repeated items give their rows each. Of overlapping occurrences of an item that with the fewest edits
+    counts, of equals the first. Empty tables give no rows; other columns are not looked at."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    if found is None:
-        found = F.lit(None).cast(MATCHES)
-    return own.select("doc_id", found.alias("m")).select("doc_id", F.inline("m"))
+    found = own.select("doc_id", F.lit(None).cast(MATCHES).alias("m")).where("false")
+    for k, of in enumerate(blocks(docs, benchmark, rate=rate)):
+        more = own.select("doc_id", of(F.col("text")).alias("m"))
+        found = found.unionAll(more) if k else more
+    return found.select("doc_id", F.inline("m"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """docs without those in which an item of the benchmark occurs. The columns stay as they are."""
-    found, mark = matches(docs, benchmark, F.col(text)), "__matches"
-    return docs if found is None else docs.withColumn(mark, found).where(F.size(mark) == 0).drop(mark)
+    """docs without those in which an item of the benchmark occurs. The columns stay as they are, whatever their names.
+
+    Documents with null or empty text stay, repeated ones as often as they are there; an empty benchmark drops none.
+    With several blocks of items, what each leaves is written before the next block's pass."""
+    mark, kept = "__matches", docs
+    for k, of in enumerate(blocks(docs, benchmark)):
+        kept = (stash(kept) if k else kept).withColumn(mark, of(F.col(text).cast("string"))).where(F.size(mark) == 0).drop(mark)
+    return kept
 
 
 def op4_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

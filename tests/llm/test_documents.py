@@ -396,6 +396,50 @@ def test_decontamination_against_alignment_of_all(spark, sample):
             assert got.get(n) == (least if least <= index.k[n] else None)
 
 
+@given(st.data())
+@settings(max_examples=250, deadline=None)
+def test_matches_are_those_of_plain_edit_distance(data):
+    """Items of 10 to 300 characters in mixed scripts, edited; characters whose bytes in the filter are equal among them."""
+    alphabet = data.draw(st.sampled_from(["ab ", "abcdefgh &\u0101", "αβγ漢字語 x", "\U0001f642é&\u0101z "]))
+    text_of = lambda low, high: decontaminate.normal(data.draw(st.text(alphabet, min_size=low, max_size=high)))
+    item = text_of(1, data.draw(st.sampled_from([12, 25, 45, 300])))
+    own = list(item)
+    for _ in range(data.draw(st.integers(0, len(item) // 9 + 1))):
+        at = data.draw(st.integers(0, max(0, len(own) - 1)))
+        own[at : at + 1] = data.draw(st.sampled_from(["", "x", "xy", alphabet[0]]))
+    text = decontaminate.normal(text_of(0, 60) + data.draw(st.sampled_from(["", " "])) + "".join(own) + " " + text_of(0, 60))
+    index = decontaminate.Index([1], [item])
+    found = index.find(text)
+    if not item:
+        assert not found
+        return
+    k = max(0, len(item) // 10)
+    assert index.k == [min(k, len(item) - 1)]
+    if len(item) < decontaminate.WHOLE_WORDS:
+        at = [m.start() for m in re.finditer(f"(?<!\\w)(?={re.escape(item)}(?!\\w))", text)]
+        assert bool(found) == bool(at) and all(f.start in at for f in found)
+        return
+    least = edits_within(item, text)
+    assert min((f.edits for f in found), default=None) == (least if least <= k else None)
+    for f in found:
+        assert edits_of(item, text[f.start : f.end]) == f.edits
+
+
+def edits_of(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        prev, row = row, [i] + [0] * len(b)
+        for j, y in enumerate(b, 1):
+            row[j] = min(prev[j - 1] + (x != y), prev[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def test_short_items_are_whole_words():
+    index = decontaminate.Index([1, 2], ["yes", "a b"])
+    assert index.find("my eyes hurt, xa b") == [] and [(f.item, f.start) for f in index.find("yes, say yes: a b")] == [(0, 0), (0, 9), (1, 14)]
+    assert [decontaminate.budget(m) for m in (1, 9, 12, 20, 30, 300)] == [0, 0, 1, 2, 3, 30]
+
+
 def test_decontamination_edges(spark, edges, nothing):
     items = spark.createDataFrame([(1, "The quick  brown fox jumps over the lazy dog"), (2, None), (3, ""), (4, "漢字"), (5, "one two")], "item_id long, text string")
     rows = decontaminate.contaminated(edges, items).collect()
