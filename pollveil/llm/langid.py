@@ -6,23 +6,24 @@ codeword whose bits have the smallest sum of logistic losses of the classifiers'
 best codewords lie close together is flagged as ambiguous.
 
 The classifiers are fitted on about TRAIN_ROWS labelled documents of each language (all of a rarer one), drawn by a
-hash; every document is then scored on its whole text."""
+hash; every label that occurs is learned. Every document is then scored on its whole text. Counts by language stay in
+Spark: the driver gets N_FEATURES weights for each bit, and the number of bits grows with the logarithm of the languages'."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pollveil.llm.common import fold, table
+from pollveil.llm.common import cut, fold, table
 
-#: Labelled documents a language for fitting, about; languages at most (the most frequent ones).
-TRAIN_ROWS, MAX_LANGUAGES = 2000, 64
+#: Labelled documents a language for fitting, about.
+TRAIN_ROWS = 2000
 GRAM_BITS = 16
 N_FEATURES = 2 << GRAM_BITS
 SMOOTHING = 0.5
@@ -30,7 +31,11 @@ SMOOTHING = 0.5
 SCALE, AMBIGUOUS = 8.0, 0.05
 #: Bytes of text whose grams are held at once, and rows of a batch that are.
 CHUNK, STEP = 1 << 20, 512
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
+#: Languages whose counts a task holds before it hands them on (1 MB each).
+HELD = 64
+#: Features whose weights are made at once in a task: so many numbers for each language.
+BLOCK = 256
 #: ASCII: letters in lower case, all else a blank; other bytes stay.
 _PLAIN = bytes(c if c >= 128 else ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(256))
 
@@ -101,16 +106,18 @@ def decode(m: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return best, score, (ranked[:, 1] - ranked[:, 0]) / code.shape[1] < AMBIGUOUS
 
 
+def log_odds(counts: np.ndarray, totals: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Weights (features x bits) from the features' counts in each language (rows) and the languages' totals."""
+    p = (counts + SMOOTHING) / (totals[:, None] + SMOOTHING * N_FEATURES)
+    one, zero = code > 0, code < 0
+    mean = lambda side: (side.T.astype(float) @ p) / np.maximum(1, side.sum(axis=0))[:, None]
+    both = (one.any(axis=0) & zero.any(axis=0))[:, None]
+    return np.where(both, np.log(np.where(both, mean(one), 1.0)) - np.log(np.where(both, mean(zero), 1.0)), 0.0).T.astype(np.float32)
+
+
 class Model:
-    def __init__(self, languages: list[str], counts: np.ndarray):
-        """counts: of each feature in each language."""
-        self.languages, self.code = languages, code_matrix(len(languages))
-        p = (counts + SMOOTHING) / (counts.sum(axis=1, keepdims=True) + SMOOTHING * N_FEATURES)
-        self.weights = np.zeros((N_FEATURES, self.code.shape[1]), np.float32)
-        for b in range(self.code.shape[1]):
-            one, zero = p[self.code[:, b] > 0], p[self.code[:, b] < 0]
-            if len(one) and len(zero):
-                self.weights[:, b] = np.log(one.mean(axis=0)) - np.log(zero.mean(axis=0))
+    def __init__(self, languages: list[str], weights: np.ndarray):
+        self.languages, self.code, self.weights = languages, code_matrix(len(languages)), weights
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language (und: no letter, or nothing was learned), score and whether it is ambiguous."""
@@ -124,15 +131,20 @@ class Model:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS) -> Model:
     """A model of the labelled documents given. Rows with a null text or lang teach nothing."""
-    known = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    share = F.lit(0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], int(min(1.0, rows / r["count"]) * (1 << 20))).otherwise(share)
-    sample = known.where(F.pmod(F.xxhash64("id", F.lit("train")), F.lit(1 << 20)) < share).select("text", "lang")
+    known = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
+    sizes = cut(known.groupBy("lang").count())
+    share = sizes.select("lang", F.least(F.lit(1.0), rows / F.col("count")).alias("share"))
+    sample = known.join(share, "lang").where(F.pmod(F.xxhash64("id", F.lit("train")), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
+
+        def hand_on() -> Iterator[pa.RecordBatch]:
+            for name, c in total.items():
+                at = np.nonzero(c)[0]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(c[at])], ["lang", "feature", "n"])
+            total.clear()
+
         for batch in batches:
             for i in range(0, batch.num_rows, STEP):
                 some = batch.slice(i, STEP)
@@ -141,21 +153,34 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
                     by.setdefault(name, []).append(t)
                 for name, texts in by.items():
                     total[name] = total.get(name, 0) + gram_counts(texts)
-        for name, c in total.items():
-            at = np.nonzero(c)[0]
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(c[at])], ["lang", "feature", "n"])
+                    if len(total) > HELD:
+                        yield from hand_on()
+        yield from hand_on()
+
+    summed = cut(sample.mapInArrow(count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")))
+    heard = sorted((r.lang, r.n) for r in summed.groupBy("lang").agg(F.sum("n").alias("n")).collect())  # a row for each language
+    names, totals = [n for n, _ in heard], np.array([t for _, t in heard], float)
+    code = code_matrix(len(names))
+    place = docs.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], "lang string, at int")
+
+    def weigh(block: pa.Table) -> pa.Table:
+        first = int(block.column("block")[0].as_py()) * BLOCK
+        counts = np.zeros((len(totals), BLOCK))
+        counts[block.column("at").to_numpy(), block.column("feature").to_numpy() - first] = block.column("n").to_numpy()
+        return pa.table({"block": block.column("block").slice(0, 1), "weights": pa.array([log_odds(counts, totals, code).tobytes()], pa.binary())})
 
-    summed = sample.mapInArrow(count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()  # at most MAX_LANGUAGES x N_FEATURES rows
-    names = sorted({r["lang"] for r in sizes})
-    counts = np.zeros((len(names), N_FEATURES), np.float64)
-    at = {n: i for i, n in enumerate(names)}
-    counts[[at[n] for n in summed.column("lang").to_pylist()], summed.column("feature").to_numpy()] = summed.column("n").to_numpy()
-    heard = counts.sum(axis=1) > 0
-    return Model([n for n, h in zip(names, heard.tolist(), strict=True) if h], counts[heard])
+    weights = np.tile(log_odds(np.zeros((len(totals), 1)), totals, code), (N_FEATURES, 1)) if names else np.zeros((N_FEATURES, 1), np.float32)
+    blocks = summed.join(F.broadcast(place), "lang").withColumn("block", F.floor(F.col("feature") / BLOCK).cast("int")).select("block", "at", "feature", "n")
+    for r in blocks.groupBy("block").applyInArrow(weigh, "block int, weights binary").toLocalIterator():  # N_FEATURES / BLOCK rows
+        weights[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.weights, np.float32).reshape(BLOCK, -1)
+    return Model(names, weights)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", to: str = "language") -> DataFrame:
-    """docs and a struct column (lang_pred, score, ambiguous) from the whole text alone."""
+    """docs and a struct column `to` (lang_pred, score, ambiguous) from the whole text alone, however long. A column of that
+    name is replaced; all others stay. Null and empty texts and those without a letter are und, with score 0, and
+    ambiguous. Repeated rows get equal results; equal losses go to the language that is first by name. With a model that
+    learned nothing every row is und. An empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # N_FEATURES x bits of the code, 4 bytes each
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
@@ -164,7 +189,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", to: str = "langu
             parts = [shared.value.predict(texts.iloc[i : i + STEP].tolist()) for i in range(0, len(texts), STEP)]
             yield pd.DataFrame({"lang_pred": [n for p in parts for n in p[0]], "score": np.concatenate([p[1] for p in parts] or [[]]), "ambiguous": np.concatenate([p[2] for p in parts] or [[]]).astype(bool)})
 
-    return docs.withColumn(to, of(F.col(text)))
+    return docs.withColumn(to, of(F.col(text).cast("string")))
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -173,8 +198,12 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """docs without those that the model rejects: no letter, or ambiguous. The columns stay as they are."""
+    """docs without those that the model rejects: no letter (null and empty texts among them), or ambiguous. The columns
+    stay as they are, whatever their names, and so do repeated rows. Where no row is labelled nothing can be ambiguous:
+    only texts without a letter go. An empty table gives no rows."""
     model = fit(training_rows(docs))
+    if not model.languages:
+        return docs.where(F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
     mark = "__language"
     return identify(docs, model, to=mark).where(f"{mark}.lang_pred <> 'und' and not {mark}.ambiguous").drop(mark)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -560,12 +561,18 @@ def test_language_id_on_held_out_documents(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in rows)
 
 
-def test_language_id_edges(edges, nothing):
+def has_letter(text):
+    return any(unicodedata.category(c).startswith("L") for c in text or "")
+
+
+def test_language_id_edges(spark, edges, nothing):
     model = langid.fit(edges)
     assert model.languages == ["de", "en"]
-    rows = langid.identify(edges.drop("language"), model).select("doc_id", "text", "language.*").collect()
-    assert len(rows) == len(EDGES)
-    assert all((r.lang_pred == "und") == (not re.search(r"[^\W\d_]", r.text or "")) for r in rows)
+    rows = langid.identify(edges, model).select("doc_id", "text", "language.*", "score").collect()  # `language` is replaced
+    assert len(rows) == len(EDGES) and {r[-1] for r in rows} == {"x"}
+    assert all((r.lang_pred == "und") == (not has_letter(r.text)) for r in rows)
+    assert model.predict(["½ ½", "²", "①Ⅷ", "42", "_", "ª", "漢", "e"])[0][:5] == ["und"] * 5
+    assert "und" not in model.predict(["ª", "漢", "e"])[0]
     kept = langid.keep_identified(edges)
     assert kept.columns == edges.columns and not kept.where("text is null or trim(text) = ''").count()
     assert langid.keep_identified(nothing).count() == 0
@@ -573,6 +580,46 @@ def test_language_id_edges(edges, nothing):
     assert none.predict(["text", None])[0] == ["und", "und"]
     one = langid.fit(edges.where("lang = 'en'"))
     assert one.predict(["some text"])[0] == ["en"]
+    unlabelled = langid.keep_identified(edges.withColumn("lang", F.lit(None).cast("string")))
+    assert unlabelled.count() == sum(has_letter(t) for _, t, *_ in EDGES) > 0
+
+
+def test_every_language_is_learned(spark):
+    """80 languages, each with an alphabet of its own but for a few letters."""
+    texts = [(80 * k + i, " ".join(chr(0x4E00 + 40 * i + (7 * k + j) % 20) * 2 + "ab"[j % 2] for j in range(30)), f"l{i:02}", "s") for k in range(4) for i in range(80)]
+    docs = documents(spark, texts)
+    model = langid.fit(docs.where("doc_id < 240"))
+    assert len(model.languages) == 80
+    rows = langid.identify(docs.where("doc_id >= 240"), model).collect()
+    assert sum(r.language.lang_pred == r.lang for r in rows) >= 78
+
+
+def test_decoding_against_plain_loops(spark, sample):
+    """Counts, log-odds, margins, losses, choice and flag, each by its definition."""
+    train = [r for r in sample.limit(40).collect() if r.lang]
+    model = langid.fit(sample.limit(40))
+    grams = lambda t: [g for d in [langid.plain(t)] for i in range(len(d) - 2) for g in (d[i : i + 2], d[i : i + 3])]
+    feature = lambda g: int.from_bytes(g, "big") if len(g) == 2 else (1 << 16) + ((int.from_bytes(g, "big") * 2654435761) % (1 << 32) >> 16)
+    counts = defaultdict(Counter)
+    for r in train:
+        counts[r.lang].update(map(feature, grams(r.text)))
+    assert model.languages == sorted(counts)
+    p = lambda lang, f: (counts[lang][f] + 0.5) / (sum(counts[lang].values()) + 0.5 * langid.N_FEATURES)
+    code = langid.code_matrix(len(counts))
+    for r in sample.limit(3).collect():
+        text = r.text[:300]
+        own = Counter(map(feature, grams(text)))
+        losses = [0.0] * len(counts)
+        for b in range(code.shape[1]):
+            sides = [[x for x, c in zip(model.languages, code[:, b], strict=True) if c == v] for v in (1, -1)]
+            weight = lambda f: math.log(sum(p(x, f) for x in sides[0]) / len(sides[0])) - math.log(sum(p(x, f) for x in sides[1]) / len(sides[1]))  # noqa: B023, E731
+            margin = sum(weight(f) * n for f, n in own.items()) / (sum(own.values()) / 2)
+            for i in range(len(losses)):
+                losses[i] += math.log1p(math.exp(-8.0 * margin * int(code[i, b])))
+        ranked = sorted(losses)
+        (name,), (score,), (close,) = model.predict([text])
+        assert name == model.languages[losses.index(ranked[0])] and close == ((ranked[1] - ranked[0]) / code.shape[1] < langid.AMBIGUOUS)
+        assert math.isclose(score, 1 / sum(math.exp(ranked[0] - x) for x in losses), rel_tol=1e-3)
 
 
 @pytest.mark.parametrize("n", [2, 3, 4, 5, 6, 12, 30])
