@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import struct
+import time
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -364,7 +366,74 @@ def test_boxes_of_other_writers():
     assert isomedia.features(bytes(open_ended))["payload_bytes"] == len(payload)
     assert isomedia.features(file[:300])["error"] and isomedia.features(b"")["error"] and isomedia.features(None)["error"]
     t = isomedia.Track(sample_size=0, n_samples=5, tables={b"stsz": np.array([3, 4, 5, 6, 7]), b"stsc": np.array([[1, 2, 1], [2, 1, 1]]), b"stco": np.array([100, 200, 300, 400])})
-    assert t.offsets().tolist() == [100, 103, 200, 300, 400] and t.key_ranges()[1].tolist() == [3, 4, 5, 6, 7]
+    at, sizes, keys = t.samples()
+    assert at.tolist() == [100, 103, 200, 300, 400] and sizes.tolist() == [3, 4, 5, 6, 7] and keys.all()
+
+
+def moved(file, kind, content):
+    """file with the content of its first box of a kind replaced by one of the same length."""
+    at = file.index(kind) + 4
+    return file[:at] + content + file[at + len(content) :]
+
+
+def test_hostile_files():
+    payload = isomedia.pad(b"x" * 5000)
+    file = isomedia.mux(payload)
+    trak = lambda *inner: isomedia.box(b"moov", isomedia.box(b"trak", *inner))
+    nested = b""
+    for _ in range(3000):
+        nested = isomedia.box(b"moov", nested)
+    bad = [
+        trak(isomedia.box(b"mdhd")), nested, moved(file, b"stsz", struct.pack(">3I", 0, 1, 0xFFFFFFFF)), moved(file, b"stsz", struct.pack(">3I", 0, 0, 0xFFFFFFFF)),
+        moved(file, b"stsc", struct.pack(">5I", 0, 1, 1, 1, 1)), moved(file, b"stco", struct.pack(">3I", 0, 1 << 30, 0)), moved(file, b"stss", struct.pack(">3I", 0, 1, 0)),
+        trak(isomedia.full_box(b"stsz", struct.pack(">II", 0, 9))), trak(isomedia.full_box(b"stz2", struct.pack(">II", 3, 9))), isomedia.box(b"moof", isomedia.box(b"traf", isomedia.full_box(b"tfhd", struct.pack(">I", 7)))), b"\0" * 7, b"\0" * 8,
+    ]
+    for b in bad:
+        began = time.perf_counter()
+        assert isomedia.features(b)["error"], b[:60]
+        assert time.perf_counter() - began < 1
+    # Chunks that claim more samples than there are hold no more than there are.
+    many = moved(file, b"stsc", struct.pack(">5I", 0, 2, 1, 32, 1) + struct.pack(">3I", 3, 0xFFFFFFFF, 1))
+    assert isomedia.features(many)["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+
+
+@given(st.integers(0, 700), st.binary(min_size=1, max_size=4))
+@settings(max_examples=300, deadline=1000)
+def test_damaged_files_never_raise(at, noise):
+    file = bytearray(isomedia.mux(isomedia.pad(b"y" * 3000)))
+    file[at : at + len(noise)] = noise
+    isomedia.features(bytes(file))
+    isomedia.features(bytes(file[:at]))
+
+
+def test_fragments_other_tracks_and_compact_sizes():
+    def track(number, handler, *tables):
+        stbl = isomedia.box(b"stbl", isomedia.full_box(b"stsd", struct.pack(">I", 1), isomedia.box(b"abcd", bytes(40))), *tables)
+        return isomedia.box(b"trak", isomedia.full_box(b"tkhd", struct.pack(">5I", 0, 0, number, 0, 0)), isomedia.box(b"mdia", isomedia.full_box(b"mdhd", struct.pack(">5I", 0, 0, 10, 0, 0)), isomedia.full_box(b"hdlr", bytes(4), handler), isomedia.box(b"minf", stbl)))
+
+    elst = isomedia.box(b"edts", isomedia.full_box(b"elst", struct.pack(">IIiI", 1, 50, -1, 0x10000)))
+    sizes = isomedia.full_box(b"stz2", struct.pack(">II", 4, 3), bytes([0x12, 0x30]))
+    sound = track(1, b"soun", sizes, isomedia.full_box(b"stsc", struct.pack(">4I", 1, 1, 3, 1)), isomedia.full_box(b"stco", struct.pack(">II", 1, 8)))
+    trex = isomedia.box(b"mvex", isomedia.full_box(b"trex", struct.pack(">5I", 2, 1, 5, 4, 0x10000)))
+    video = track(2, b"vide")
+    video = isomedia.box(b"trak", video[8:], elst)
+    head = isomedia.box(b"free", b"abcdef") + isomedia.box(b"moov", sound, video, trex)
+
+    def fragment(shift):
+        first = isomedia.full_box(b"trun", struct.pack(">IiI", 3, shift, 0), flags=0x5)  # default sizes; the first is a key frame
+        second = isomedia.full_box(b"trun", struct.pack(">5I", 2, 3, 0x10000, 6, 0), flags=0x600)
+        return isomedia.box(b"moof", isomedia.full_box(b"mfhd", struct.pack(">I", 1)), isomedia.box(b"traf", isomedia.full_box(b"tfhd", struct.pack(">I", 2), flags=0x20000), first, second))
+
+    size = len(fragment(0))
+    file = head + fragment(size + 8) + isomedia.box(b"mdat", bytes(range(21)))
+    got = isomedia.features(file)
+    begin = len(head) + size + 8
+    assert got["error"] is None and got["n_frames"] == 5 and got["duration_s"] == 2.5 and got["payload_bytes"] == 21
+    assert [(k["offset"] - begin, k["size"]) for k in got["keyframes"]] == [(0, 4), (15, 6)]
+    assert got["payload_sha256"] == hashlib.sha256(bytes(range(21))).hexdigest()
+    assert [(t["track"], t["handler"], t["n_frames"]) for t in got["tracks"]] == [(1, "soun", 3), (2, "vide", 5)]
+    assert got["tracks"][0]["keyframes"] == [{"offset": 8, "size": 1}, {"offset": 9, "size": 2}, {"offset": 11, "size": 3}]
+    assert got["tracks"][1]["edits"] == [{"duration": 50, "media_time": -1}]
 
 
 # op4
