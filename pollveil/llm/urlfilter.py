@@ -1,9 +1,10 @@
 """URL filters, with DataFrame functions alone.
 
 Listed URLs are kept in canonical form. A split-block Bloom filter of them (WORDS words of 32 bits a block, one bit in
-each) is a table of blocks: of at most MAX_BLOCKS rows, so that it may be broadcast whatever the list's size. Rows
-whose block lacks one of their bits are on no list; the possible hits, and only they, go to an exact join with the list
-on the canonical URL, which removes false positives."""
+each) is a table of blocks, BITS_PER_URL bits for each listed URL whatever the list's size: broadcast while it has at
+most MAX_BLOCKS blocks, joined by block beyond. Rows whose block lacks one of their bits are on no list and have no key
+in the exact join that follows; possible hits are joined with the list on the canonical URL, which removes false
+positives. Pages are scanned once."""
 
 from __future__ import annotations
 
@@ -13,11 +14,11 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pollveil.llm.common import ascii_lower, table
+from pollveil.llm.common import ascii_lower, cut, table
 
 WORDS, BITS_PER_URL = 8, 16
-#: 2 ** 17 blocks of 9 longs: under 10 MB.
-MAX_BLOCKS = 1 << 17
+#: Blocks (of 9 longs: under 10 MB) and URLs of a list (about 20 MB) that are broadcast at most.
+MAX_BLOCKS, MAX_LISTED = 1 << 17, 200_000
 #: Parameters of a query string that do not tell pages apart.
 TRACKING = "^(utm_[a-z]+|ref|gclid|fbclid)="
 #: Rules (verdict, host, path) of the contract.
@@ -68,24 +69,28 @@ def bloom_blocks(listed: DataFrame, blocks: int, url: str = "listed_url") -> Dat
     return own.groupBy("block").agg(*(F.bit_or(f"b{i}").alias(f"w{i}") for i in range(WORDS)))
 
 
-def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url: str = "url", listed_url: str = "url", max_blocks: int = MAX_BLOCKS) -> DataFrame:
+def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url: str = "url", listed_url: str = "url", max_blocks: int = MAX_BLOCKS, max_listed: int = MAX_LISTED) -> DataFrame:
     """page_id, host, path, rule, verdict, canonical_url, listed: a row for each row of pages.
 
-    verdict: the longest rule's, else block for a listed URL, else allow. Null URLs and URLs without :// have empty host
-    and path and are allowed. Lists may repeat URLs; null ones list nothing."""
-    urls = listed.select(canonical(F.col(listed_url)).alias("listed_url")).where("listed_url <> ''").distinct()
-    blocks = max(1, min(max_blocks, -(-urls.count() * BITS_PER_URL // (32 * WORDS))))
-    c, host, path = F.col("url"), F.col("host"), F.col("path")
+    verdict: the longest rule's, else block for a listed URL, else allow. Null and empty URLs and URLs without :// have
+    empty host and path and are allowed; URLs of any length are taken whole. Repeated pages are judged each. Lists may
+    repeat URLs; null ones list nothing, and an empty list nothing either. An empty table gives no rows; other columns
+    are not looked at."""
+    urls = cut(listed.select(canonical(F.col(listed_url)).alias("listed_url")).where("listed_url <> ''").distinct())
+    n = urls.count()
+    blocks = max(1, -(-n * BITS_PER_URL // (32 * WORDS)))
+    c, host, path, key = F.col("url"), F.col("host"), F.col("path"), F.col("canonical_url")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url).cast("string").alias("url"))
-    rows = rows.select("page_id", host_of(c).alias("host"), path_of(c).alias("path"), canonical(c).alias("canonical_url"))
-    rows = rows.withColumns({"block": _place(F.col("canonical_url"), blocks)})
-    held = reduce(and_, (F.col(f"w{i}").bitwiseAND(b) == b for i, b in enumerate(_bits(F.col("canonical_url")))))
-    probed = rows.join(F.broadcast(bloom_blocks(urls, blocks)), "block", "left").select("page_id", "host", "path", "canonical_url", F.coalesce(held, F.lit(False)).alias("maybe"))
-    hits = probed.where("maybe").join(urls, F.col("canonical_url") == F.col("listed_url"), "left").withColumn("listed", F.col("listed_url").isNotNull())
-    none = probed.where("not maybe").withColumn("listed", F.lit(False))
-    columns = ["page_id", "host", "path", "canonical_url", "listed"]
+    rows = rows.select("page_id", host_of(c).alias("host"), path_of(c).alias("path"), canonical(c).alias("canonical_url")).withColumn("block", _place(key, blocks))
+    bloom = bloom_blocks(urls, blocks)
+    held = reduce(and_, (F.col(f"w{i}").bitwiseAND(b) == b for i, b in enumerate(_bits(key))))
+    probed = rows.join(F.broadcast(bloom) if blocks <= max_blocks else bloom, "block", "left").withColumn("maybe", F.coalesce(held, F.lit(False)))
+    # Where the list is shuffled, rows without a key are dealt by a text that no list has, so that they do not meet in one task.
+    own = F.when(F.col("maybe"), key) if n <= max_listed else F.when(F.col("maybe"), key).otherwise(F.concat(F.lit("\x00"), F.xxhash64("page_id", key).cast("string")))
+    probed = probed.select("page_id", "host", "path", "canonical_url", own.alias("key"))
+    found = probed.join(F.broadcast(urls) if n <= max_listed else urls, F.col("key") == F.col("listed_url"), "left").withColumn("listed", F.col("listed_url").isNotNull())
     rule, verdict = rule_columns(host, path, rules)
-    return none.select(columns).unionAll(hits.select(columns)).select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "canonical_url", "listed")
+    return found.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "canonical_url", "listed")
 
 
 def listed_urls(spark: SparkSession) -> DataFrame:

@@ -605,17 +605,20 @@ def test_url_filter_equals_sql(spark):
     assert sorted(map(tuple, got), key=repr) == sorted(cursor.fetchall(), key=repr)
 
 
-@pytest.mark.parametrize("max_blocks", [1, 1 << 17])
-def test_url_filter_edges(spark, max_blocks):
+@pytest.mark.parametrize(("max_blocks", "max_listed"), [(0, 0), (1, 1 << 17), (1 << 17, 0)])
+def test_url_filter_edges(spark, max_blocks, max_listed):
     urls = [(1, None), (2, ""), (3, "no scheme"), (4, "http://A.example.COM/en/70?x=1#f"), (5, "https://www.bad.test/p/?utm_source=z"), (5, "https://www.bad.test/p/?utm_source=z"), (6, "http://bad.test/p?b=2&a=1"), (7, "http://good.test/p"), (8, "://net/de/"), (9, "http://evilnet/de/")]
     pages = spark.createDataFrame(urls, "page_id long, url string").selectExpr("*", "'x' as host", "1 as block", "'x' as listed")
     listed = spark.createDataFrame([("http://bad.test/p",), ("http://m.bad.test/p/?a=1&b=2",), (None,), ("http://bad.test/p",)], "url string")
-    rows = urlfilter.judge(pages, listed, urlfilter.RULES, max_blocks=max_blocks).collect()
+    rows = urlfilter.judge(pages, listed, urlfilter.RULES, max_blocks=max_blocks, max_listed=max_listed).collect()
     assert sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in rows if r.page_id < 5 or r.page_id == 8) == [
         (1, "", "", None, "allow"), (2, "", "", None, "allow"), (3, "", "", None, "allow"), (4, "a.example.com", "/en/70", "example.com/en/7", "allow"), (8, "net", "/de/", "net/de/", "allow"),
     ]
     assert sorted((r.page_id, r.verdict) for r in rows if r.page_id in (5, 6, 7, 9)) == [(5, "block"), (5, "block"), (6, "block"), (7, "allow"), (9, "allow")]
     assert urlfilter.judge(pages.where("false"), listed, urlfilter.RULES).count() == 0
+    many = pages.sparkSession.range(3000).select(F.concat(F.lit("http://h.test/"), F.col("id").cast("string")).alias("url"), "id")
+    got = urlfilter.judge(many.withColumnRenamed("id", "page_id"), many.where("id % 3 = 0"), urlfilter.RULES, max_blocks=max_blocks, max_listed=max_listed).collect()
+    assert len(got) == 3000 and all(r.listed == (r.page_id % 3 == 0) for r in got)
     assert urlfilter.judge(pages, listed.where("false"), urlfilter.RULES).where("listed").count() == 0
 
 
