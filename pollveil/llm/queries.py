@@ -8,6 +8,7 @@ from pollveil.llm.htmltext import op5_html_main_text
 from pollveil.llm.isomedia import op3_iso_media
 from pollveil.llm.langid import op8_ecoc_language_id
 from pollveil.llm.licenses import op10_license_scan
+from pollveil.llm.licenses import oracle as op10_oracle
 from pollveil.llm.packing import op9_mixture_packing
 from pollveil.llm.simhash import op1_simhash_near_dedup
 from pollveil.llm.token_spans import op2_section_token_counts
@@ -26,4 +27,4 @@ QUERIES = {
     "op9_mixture_packing": op9_mixture_packing,
     "op10_license_scan": op10_license_scan,
 }
-ORACLE_SQL: dict[str, str] = {"op7_bloom_url_filter": op7_oracle()}
+ORACLE_SQL: dict[str, str] = {"op7_bloom_url_filter": op7_oracle(), "op10_license_scan": op10_oracle()}

@@ -719,6 +719,19 @@ def test_license_base(spark, sample):
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
 
 
+def test_license_scan_equals_sql(spark, tmp_path):
+    con = duckdb.connect()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    more = [t for _, t, _ in licenses.TEMPLATES] * 2 + [f"x y, {t.title()}; {t.replace(' ', '-')} z" for _, t, _ in licenses.TEMPLATES] + [None, "", "license " * 500, "Ünder the Apache  License"]
+    docs.unionAll(spark.createDataFrame([(5000 + i // 2, t) for i, t in enumerate(more)], "doc_id long, text string")).write.parquet(str(tmp_path / "documents.parquet"))
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cursor = con.execute(licenses.oracle())
+    names = [d[0] for d in cursor.description]
+    got = queries.QUERIES["op10_license_scan"](spark, str(tmp_path)).select(names).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(cursor.fetchall(), key=repr)
+    assert {x for r in got for x in r.labels.split(",")} >= {name for name, _, _ in licenses.TEMPLATES}
+
+
 def test_license_templates(spark, edges, nothing):
     texts = [
         "x Licensed under the Apache License, Version 2.0 y", "Apache License, Version 1.1", "This work is licensed under the GNU General Public License, version 3",
@@ -730,6 +743,8 @@ def test_license_templates(spark, edges, nothing):
     assert rows[5].n_base == 3 and (rows[5].first_word, rows[5].last_word) == (3, 13) and rows[0].score == 1.0 and rows[1].score == 0.0
     assert licenses.scan(edges, licenses.TEMPLATES, licenses.BASE).count() == len(EDGES)
     assert licenses.scan(nothing, licenses.TEMPLATES, licenses.BASE).count() == 0
+    with pytest.raises(ValueError, match="not in its notice"):
+        licenses.scan(docs, [("x", "a b c", "b a")], licenses.BASE)
 
 
 def test_documents_schema(sample):
