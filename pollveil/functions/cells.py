@@ -96,13 +96,16 @@ def style_similarity(a: Column, b: Column) -> Column:
 
 
 def sort_key(cvr_number: Column) -> dict[str, Column]:
-    """Classes of the output's order: numbers, other texts, aggregates by number, other aggregates."""
-    own, digits = strip(cvr_number), r"^[+-]?\d{1,18}$"
+    """Classes of the output's order: numbers, other texts, aggregates by the number behind the first hyphen, other
+    aggregates. Numbers of more than 38 digits follow the others of their class by length and digits."""
+    own, digits = strip(cvr_number), r"^[+-]?\d+(_\d+)*$"
     aggregate = is_aggregate(cvr_number)
-    tail = F.substr(own, F.lit(len(AGGREGATE_PREFIX) + 1))
+    tail = strip(F.get(F.split(own, "-"), F.lit(1)))
     kind = F.when(aggregate & tail.rlike(digits), 2).when(aggregate, 3).when(own.rlike(digits), 0).otherwise(1)
-    number = F.when(kind == 2, tail.try_cast("bigint")).when(kind == 0, own.try_cast("bigint"))
-    return {"sort_class": kind, "sort_number": number, "sort_text": F.when(number.isNull(), own)}
+    text = F.when(kind == 2, tail).when(kind == 0, own)
+    number = F.replace(text, F.lit("_"), F.lit("")).try_cast("decimal(38,0)")
+    plain = F.regexp_replace(F.replace(text, F.lit("_"), F.lit("")), r"^([+-]?)0*", "")
+    return {"sort_class": kind, "sort_number": number, "sort_digits": F.when(number.isNull() & kind.isin(0, 2), F.length(plain)), "sort_text": F.when(number.isNull(), F.coalesce(plain, own))}
 
 
 @F.pandas_udf(StringType())

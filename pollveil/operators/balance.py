@@ -6,7 +6,7 @@ so that of each class only as many as are needed at most are looked at."""
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, deque
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -226,23 +226,28 @@ def pick_contrast(scored: DataFrame, winners: dict[str, str], min_ballots: int,
                 given[r.sig] += 1
                 have.update(r.satisfied)
         return picked
-    needed, picked, prefix = set(winners), [], Counter()
-    # `prefix` counts contests over the first len(picked) rows of the ranking, as the historical rule does.
-    seen: list[list[str]] = []
-    counted = 0
+    # `prefix` counts contests over the first len(picked) rows of the ranking, as the historical rule does. The driver
+    # keeps one small number for each row between there and where it reads, and stops where no contest that is still
+    # needed has a row at all.
+    able = {r.c for r in scored.select(F.explode("satisfied").alias("c")).distinct().collect()}
+    needed, picked, prefix, counted = set(winners), [], Counter(), 0
+    sets: dict[tuple[str, ...], int] = {}
+    waiting: deque[int] = deque()
+    if not needed & able:
+        return picked
     for r in scored.orderBy(F.desc("score"), "style_ord", "ord").select("satisfied", *ranked).toLocalIterator():
-        seen.append(list(r.satisfied))
-        if not needed.intersection(r.satisfied):
+        own = tuple(r.satisfied)
+        waiting.append(sets.setdefault(own, len(sets)))
+        if not needed.intersection(own):
             continue
         picked.append(r.ord)
-        needed -= set(r.satisfied)
-        if needed:
-            continue
-        while counted < len(picked):
-            prefix.update(seen[counted])
-            seen[counted] = []
-            counted += 1
-        needed = {c for c in winners if prefix[c] < CONTRAST}
+        needed -= set(own)
         if not needed:
+            names = list(sets)
+            while waiting and counted < len(picked):
+                prefix.update(names[waiting.popleft()])
+                counted += 1
+            needed = {c for c in winners if prefix[c] < CONTRAST}
+        if not needed & able:
             break
     return picked

@@ -31,6 +31,8 @@ def column_cooccurrence(signatures: DataFrame) -> DataFrame:
     return two.groupBy("i", "j", F.concat("a", "b").alias("pair")).agg(F.count("*").alias("n"))
 
 
-def similarity_to(signatures: DataFrame, to: str) -> DataFrame:
-    """sig, similarity to one signature."""
+def similarity_to(signatures: DataFrame, to: str | None) -> DataFrame:
+    """sig, similarity to one signature; no rows where there is none to compare with."""
+    if to is None:
+        signatures, to = signatures.where("false"), ""
     return signatures.select("sig", C.style_similarity(F.col("sig"), F.lit(to)).alias("similarity"))

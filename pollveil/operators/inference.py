@@ -74,27 +74,51 @@ def style_mapping(original: DataFrame, released: DataFrame) -> DataFrame:
     return rows.select(F.col("style").alias("original_style"), F.coalesce("kept", F.lit(first)).alias("anonymized_style")).where("anonymized_style is not null")
 
 
-def probability_sheet(ballots: DataFrame, layout: Layout, overall: DataFrame, by_style: DataFrame | None = None, mapping: DataFrame | None = None) -> DataFrame:
-    """voter (by place), style, contest, choice, prob for each contest on the voter's ballot: the style's, else the
-    overall probability."""
-    own = ballots.select("ord", "style", C.contests_on(F.col("cells"), layout).alias("contests"))
+def ballot_probabilities(ballots: DataFrame, layout: Layout, overall: DataFrame, by_style: DataFrame | None = None, mapping: DataFrame | None = None) -> DataFrame:
+    """ord, style, probs: a row for each ballot, whether it has a contest or not. probs: contest, choice and prob of each
+    column of a contest, the style's where by_style knows it, else the overall one; null where the contest is not on the
+    ballot. Styles' probabilities come as one row a style, so that one join of ballots does."""
+    every = {(r.contest, r.choice): r.prob for r in overall.select("contest", "choice", "prob").collect()}  # as wide as a ballot
+    own = ballots.select("ord", "style", "cells")
     if mapping is not None:
         own = own.join(mapping, F.col("style") == F.col("original_style"), "left").withColumn("style", F.coalesce("anonymized_style", "style")).drop("original_style", "anonymized_style")
-    rows = own.select("ord", "style", F.explode("contests").alias("contest"))
-    rows = rows.join(F.broadcast(overall.select("contest", "choice", F.col("prob").alias("overall"))), "contest")  # as wide as a ballot
     if by_style is None:
-        own_prob = F.col("overall")
+        own = own.withColumn("known", F.lit(None).cast("map<string,double>"))
     else:
-        rows = rows.join(by_style.select("style", "contest", "choice", F.col("prob").alias("own")), ["style", "contest", "choice"], "left")
-        known = by_style.select("style").distinct().withColumn("known", F.lit(True))
-        rows = rows.join(known, "style", "left")
-        own_prob = F.when(F.col("known"), F.coalesce("own", F.lit(0.0))).otherwise(F.col("overall"))
-    return rows.select(F.concat(F.lit("V"), F.col("ord").cast("string")).alias("voter"), "style", "contest", "choice", own_prob.alias("prob"))
-
-
-def wide_sheet(sheet: DataFrame, layout: Layout) -> DataFrame:
-    """Voter, Style and a formatted column for each choice, blank where the contest is not on the ballot."""
-    keys = [f"{c.contest}\u001f{c.choice}" for c in layout.columns]
-    wide = sheet.withColumn("key", F.concat("contest", F.lit("\u001f"), "choice")).groupBy("voter", "style").pivot("key", keys).agg(F.first("prob"))
-    names = [c.choice for c in layout.columns]
-    return wide.select(F.col("voter").alias("Voter"), F.col("style").alias("Style"), *(C.format_probability(F.col(f"`{k}`")).alias(n) for k, n in zip(keys, names, strict=True)))
+        one = by_style.groupBy("style", "contest", "choice").agg(F.max("prob").alias("prob"))
+        known = one.groupBy("style").agg(F.map_from_entries(F.collect_list(F.struct(_key(F.col("contest"), F.col("choice")).alias("k"), "prob"))).alias("known"))  # as wide as a ballot
+        own = own.join(known, "style", "left")
+    each = []
+    for contest, columns in layout.sorted_contests:
+        present = F.exists(F.lit(columns), lambda i: C.is_present(F.get("cells", i)))
+        for i in columns:
+            choice = layout.columns[i].choice
+            prob = F.when(F.col("known").isNotNull(), F.coalesce(F.try_element_at(F.col("known"), _key(F.lit(contest), F.lit(choice))), F.lit(0.0))).otherwise(F.lit(every.get((contest, choice))).cast("double"))
+            each.append(F.struct(F.lit(contest).alias("contest"), F.lit(choice).alias("choice"), F.lit(i).alias("col_idx"), F.when(present, prob).alias("prob"), present.alias("present")))
+    probs = F.array(*each) if each else F.expr("cast(array() as array<struct<contest:string,choice:string,col_idx:int,prob:double,present:boolean>>)")
+    return own.select("ord", "style", probs.alias("probs"))
+
+
+def _key(contest, choice):
+    """A text that no other contest and choice have."""
+    return F.concat(F.length(contest).cast("string"), F.lit(":"), contest, choice)
+
+
+def probability_sheet(ballots: DataFrame, layout: Layout, overall: DataFrame, by_style: DataFrame | None = None, mapping: DataFrame | None = None) -> DataFrame:
+    """voter (by place), style, contest, choice, prob for each contest on the voter's ballot: the style's, else the
+    overall probability."""
+    own = ballot_probabilities(ballots, layout, overall, by_style, mapping)
+    rows = own.select("ord", "style", F.explode(F.filter("probs", lambda p: p.present)).alias("p"))
+    return rows.select(_voter().alias("voter"), "style", "p.contest", "p.choice", "p.prob")
+
+
+def _voter():
+    return F.concat(F.lit("V"), F.col("ord").cast("string"))
+
+
+def wide_sheet(own: DataFrame, layout: Layout) -> DataFrame:
+    """ballot_probabilities as Voter, Style and a formatted column for each choice, blank where the contest is not on the
+    ballot. Every voter has a row."""
+    place = {i: n for n, i in enumerate(i for _, columns in layout.sorted_contests for i in columns)}
+    columns = [(c.choice, F.get(F.col("probs"), F.lit(place[c.index])).prob) for c in layout.columns if c.contest]
+    return own.select(_voter().alias("Voter"), F.coalesce("style", F.lit("")).alias("Style"), *(C.format_probability(p).alias(n) for n, p in columns))

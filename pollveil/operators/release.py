@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pollveil.functions import cells as C
@@ -21,8 +21,9 @@ def redact(ballots: DataFrame) -> DataFrame:
 
 
 def without_aggregated(ballots: DataFrame, aggregated: DataFrame) -> DataFrame:
-    """Ballots whose trimmed CVR number is not among the aggregated ones; blank numbers are never dropped."""
-    numbers = aggregated.select(C.strip(F.col("cvr_number")).alias("__number")).where(F.col("__number") != "").distinct()
+    """Ballots whose trimmed CVR number is not among the aggregated ones; blank numbers and those of aggregates are never
+    dropped."""
+    numbers = aggregated.select(C.strip(F.col("cvr_number")).alias("__number")).where((F.col("__number") != "") & ~F.col("__number").startswith(AGGREGATE_PREFIX)).distinct()
     return ballots.join(numbers, C.strip(F.col("cvr_number")) == F.col("__number"), "left_anti")
 
 
@@ -36,7 +37,7 @@ def aggregate_row(group: DataFrame, identifier: str = AGGREGATE_PREFIX + "1") ->
 def in_output_order(rows: DataFrame) -> DataFrame:
     """Numbers, other names, aggregates; equal keys in file order. A global sort by ranges."""
     keys = C.sort_key(F.col("cvr_number"))
-    return rows.withColumns(keys).orderBy("sort_class", F.col("sort_number").asc_nulls_last(), "sort_text", F.col("ord").asc_nulls_last()).drop(*keys)
+    return rows.withColumns(keys).orderBy("sort_class", F.col("sort_number").asc_nulls_last(), "sort_digits", "sort_text", F.col("ord").asc_nulls_last()).drop(*keys)
 
 
 @dataclass
@@ -45,6 +46,7 @@ class Release:
     aggregate: DataFrame | None
     membership: DataFrame  # ord, bucket
     stats: dict = field(default_factory=dict)
+    rare_styles: DataFrame | None = None  # descriptive_name, ballot_count, original_styles (style, n): a row for each
 
     @property
     def output(self) -> DataFrame:
@@ -80,18 +82,19 @@ def anonymize(ballots: DataFrame, layout: Layout, config: Config | None = None)
     stats = {"total_rows": ballots.count(), "original_styles": sizes.styles, "rare_ballots_initial": sizes.rare, "min_ballots": k, "ballots_borrowed_for_minimum": 0, "contests_needing_ballots": {}, "ballots_added_for_contests": 0, "contests_needing_balancing": [], "ballots_added_for_balancing": 0, "aggregated_rows": 0, "final_styles": sizes.common}
     spark = ballots.sparkSession
     if not sizes.rare:
-        return Release(redact(ballots), None, styled.select("ord", F.lit("released").alias("bucket")), stats)
+        return Release(redact(ballots), None, styled.select("ord", F.lit("released").alias("bucket")), stats | {"rare_styles": 0}, S.rare_counts(styled, k))
 
     rare = S.with_rarity(styled, k).where("is_rare").select(styled.columns)
     borrowed = B.borrow_for_minimum(styled, k)
     members = cut(rare.select("*", F.lit("rare").alias("bucket")).unionByName(borrowed.select("*", F.lit("borrowed").alias("bucket"))))
-    stats["rare_styles"] = groups.where("is_rare").count()
+    stats["rare_styles"] = sizes.rare  # ballots, as the historical report has it
     stats["totals_after_rare_styles"] = _nested(T.group_tally(rare, layout, mode))
     stats["ballots_borrowed_for_minimum"] = members.where("bucket = 'borrowed'").count()
     pool = cut(B.pool_after(styled, members.where("bucket = 'borrowed'"), k))
     present = T.contest_presence(members, layout).collect()  # a row for each contest at most
     stats["contest_ballot_counts_after_rare"] = {r.contest: r.ballots for r in present}
     stats["contest_ballot_vote_counts_after_rare"] = {r.contest: r.with_vote for r in present}
+    stats["contest_ballot_counts"] = stats["contest_ballot_counts_after_rare"]
     needs = {r.contest: k - r.ballots for r in present if r.ballots < k}
     stats["contests_needing_ballots"] = dict(sorted(needs.items()))
     covering = B.cover_contests(pool, layout, needs, B.as_counts(T.choice_counts(members, layout)), k)
@@ -127,7 +130,7 @@ def anonymize(ballots: DataFrame, layout: Layout, config: Config | None = None)
     if mode == "spec":
         check_release(released, aggregate, members, layout, k)
     membership = members.select("ord", "bucket").unionByName(styled.join(members.select("ord"), "ord", "left_anti").select("ord", F.lit("released").alias("bucket")))
-    return Release(released, aggregate, membership, stats)
+    return Release(released, aggregate, membership, stats, S.rare_counts(styled, k))
 
 
 def _nested(totals: DataFrame) -> dict[str, dict[str, int]]:
@@ -143,13 +146,3 @@ def check_release(released: DataFrame, aggregate: DataFrame, members: DataFrame,
     small = S.style_groups(S.with_style(released, layout)).where(F.col("n") < k).limit(1).collect()
     if small or members.count() < k:
         raise CvrError(f"a released style or the aggregate has fewer than {k} ballots")
-
-
-def membership_numbers(release: Release) -> DataFrame:
-    """bucket, ballots."""
-    return release.membership.groupBy("bucket").agg(F.count("*").alias("ballots"))
-
-
-def first_places(rows: DataFrame) -> DataFrame:
-    """rows with their place in the output's order among equal keys of the class; for reports of small results."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("sort_class").orderBy(F.col("sort_number").asc_nulls_last(), "sort_text", "ord")))

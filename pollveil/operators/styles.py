@@ -59,13 +59,21 @@ def named_patterns(styled: DataFrame, min_ballots: int) -> DataFrame:
     return own.withColumn("name", C.descriptive_name(F.col("pattern"), F.col("n"), F.col("style_number"), min_ballots))
 
 
-def rare_breakdown(styled: DataFrame, min_ballots: int) -> DataFrame:
-    """sig, name (by the pattern of the style's first ballot), ballot_count, styles (CVR style:n, sorted)."""
+def rare_counts(styled: DataFrame, min_ballots: int) -> DataFrame:
+    """sig, descriptive_name (by the pattern of the style's first ballot), ballot_count, original_styles (style and n of
+    each CVR style that is not blank, sorted)."""
     rare = with_rarity(styled, min_ballots).where("is_rare")
-    by_style = rare.groupBy("sig", "style").agg(F.count("*").alias("k"))
-    listed = by_style.groupBy("sig").agg(F.sum("k").alias("ballot_count"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("style", "k"))), lambda x: F.concat(x.style, F.lit(":"), x.k.cast("string"))), ",").alias("styles"))
+    by_style = rare.groupBy("sig", C.strip(F.col("style")).alias("style")).agg(F.count("*").alias("n"))
+    named = F.filter(F.array_sort(F.collect_list(F.struct("style", "n"))), lambda x: x.style != "")  # as many as CVR styles share a signature
+    listed = by_style.groupBy("sig").agg(F.sum("n").alias("ballot_count"), named.alias("original_styles"))
     first = rare.groupBy("sig").agg(F.min_by("pattern", "ord").alias("pattern"))
-    return listed.join(first, "sig").join(named_patterns(styled, min_ballots).select("pattern", "name"), "pattern", "left").select("sig", F.coalesce("name", "sig").alias("name"), "ballot_count", "styles")
+    return listed.join(first, "sig").join(named_patterns(styled, min_ballots).select("pattern", "name"), "pattern", "left").select("sig", F.coalesce("name", "sig").alias("descriptive_name"), "ballot_count", "original_styles")
+
+
+def rare_breakdown(styled: DataFrame, min_ballots: int) -> DataFrame:
+    """sig, name, ballot_count, styles (CVR style:n, sorted)."""
+    styles = F.array_join(F.transform("original_styles", lambda x: F.concat(x.style, F.lit(":"), x.n.cast("string"))), ",")
+    return rare_counts(styled, min_ballots).select("sig", F.col("descriptive_name").alias("name"), "ballot_count", styles.alias("styles"))
 
 
 def leakage_by_cvr_style(styled: DataFrame) -> DataFrame:

@@ -9,10 +9,10 @@ from pollveil.functions import cells as C
 from pollveil.plans.model import Layout
 
 
-def long_cells(ballots: DataFrame, layout: Layout, *keep: str) -> DataFrame:
-    """A row for each cell whose column belongs to a contest: keep.., col_idx, contest, choice, cell."""
+def long_cells(ballots: DataFrame, layout: Layout, *keep: str, blank_names: bool = True, beyond: bool = True) -> DataFrame:
+    """A row for each cell whose column belongs to a contest: keep.., col_idx, contest, choice, cell (Layout.frame)."""
     own = ballots.select(*keep, F.posexplode("cells").alias("col_idx", "cell"))
-    return own.join(F.broadcast(layout.frame(ballots.sparkSession)), "col_idx")  # as many rows as a ballot has columns
+    return own.join(F.broadcast(layout.frame(ballots.sparkSession, blank_names, beyond)), "col_idx")  # as many rows as a ballot has columns
 
 
 def column_sums(ballots: DataFrame) -> DataFrame:
@@ -27,8 +27,9 @@ def printed(total):
 
 
 def tally(ballots: DataFrame, layout: Layout) -> DataFrame:
-    """contest, choice, votes of ballots and aggregates; what has no vote is absent."""
-    own = long_cells(ballots, layout, C.is_aggregate(F.col("cvr_number")).alias("aggregate"))
+    """contest, choice, votes of ballots and aggregates; what has no vote is absent, and so are columns that the choices
+    row does not reach."""
+    own = long_cells(ballots, layout, C.is_aggregate(F.col("cvr_number")).alias("aggregate"), beyond=False)
     votes = C.vote_count(F.col("cell"), F.col("aggregate"))
     return own.withColumn("votes", votes).where("votes > 0").groupBy("contest", "choice").agg(F.sum("votes").alias("votes"))
 
@@ -36,7 +37,7 @@ def tally(ballots: DataFrame, layout: Layout) -> DataFrame:
 def group_tally(ballots: DataFrame, layout: Layout, mode: str) -> DataFrame:
     """contest, choice, votes, first_col of a group that is to become an aggregate. spec counts its sums; compat counts
     a column only where its sum is exactly 1, as the historical temporary aggregate does."""
-    own = column_sums(ballots).join(F.broadcast(layout.frame(ballots.sparkSession)), "col_idx")
+    own = column_sums(ballots).join(F.broadcast(layout.frame(ballots.sparkSession, beyond=False)), "col_idx")
     count = (F.col("total") == 1).cast("long") if mode == "compat" else F.col("total").cast("bigint")
     return own.withColumn("votes", count).where("votes > 0").groupBy("contest", "choice").agg(F.sum("votes").alias("votes"), F.min("col_idx").alias("first_col"))
 
@@ -55,9 +56,19 @@ def verify(original: DataFrame, released: DataFrame, layout: Layout) -> DataFram
     return own.select("contest", "choice", x.alias("original"), y.alias("anonymized"), (y - x).alias("difference"))
 
 
+def conservation(long: DataFrame, ballots: DataFrame, layout: Layout) -> DataFrame:
+    """contest, choice, long_votes, ballot_votes, difference: voters with a true row for each contest and candidate (names
+    without white space around), against the tally of the ballots made of them. All differences must be 0."""
+    names = [C.strip(F.col(c).cast("string")).alias(n) for c, n in (("contest", "contest"), ("candidate", "choice"))]
+    true = long.where("isVote").select("voter_id", "contest", "candidate").distinct().groupBy(*names).agg(F.count("*").alias("a"))
+    own = true.join(tally(ballots, layout).withColumnRenamed("votes", "b"), ["contest", "choice"], "full_outer")
+    x, y = F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))
+    return own.select("contest", "choice", x.alias("long_votes"), y.alias("ballot_votes"), (y - x).alias("difference"))
+
+
 def choice_counts(ballots: DataFrame, layout: Layout) -> DataFrame:
-    """contest, choice, n that balancing goes by."""
-    own = long_cells(ballots, layout).withColumn("n", C.balance_count(F.col("cell"))).where(C.is_present(F.col("cell")) & (C.strip(F.col("cell")) != "0"))
+    """contest, choice, n that balancing goes by; choices without a name are named by their column."""
+    own = long_cells(ballots, layout, blank_names=False).withColumn("n", C.balance_count(F.col("cell"))).where(C.is_present(F.col("cell")) & (C.strip(F.col("cell")) != "0"))
     return own.groupBy("contest", "choice").agg(F.sum("n").alias("n"))
 
 

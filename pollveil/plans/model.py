@@ -5,7 +5,7 @@ A cell is a string: empty if the contest is not on the ballot, 0 if it is and th
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +37,7 @@ class VoteColumn:
     index: int  # from 0, over the vote cells
     contest: str
     choice: str
+    named: bool = True  # whether the choices row reaches this column; tallies leave out the others
 
 
 @dataclass(frozen=True)
@@ -44,10 +45,13 @@ class Layout:
     """The vote columns. A layout is as wide as a ballot and lives on the driver."""
 
     columns: tuple[VoteColumn, ...]
+    keys: tuple[tuple, ...] = field(default=(), compare=False)  # names as they stand in long records
 
     @classmethod
-    def of(cls, pairs: list[tuple[str, str]]) -> Layout:
-        return cls(tuple(VoteColumn(i, contest.strip(), choice.strip()) for i, (contest, choice) in enumerate(pairs)))
+    def of(cls, pairs: list[tuple[str, str | None]]) -> Layout:
+        """pairs: contest and choice of each column; a choice of None is one that the choices row does not reach."""
+        named = lambda i, choice: f"Choice{i + len(HEADER)}" if choice is None else choice.strip()
+        return cls(tuple(VoteColumn(i, contest.strip(), named(i, choice), choice is not None) for i, (contest, choice) in enumerate(pairs)), tuple(pairs))
 
     @property
     def contests(self) -> dict[str, list[int]]:
@@ -66,6 +70,8 @@ class Layout:
         """The choice's name, or one made of the column's place in the file's row where it is blank."""
         return self.columns[index].choice or f"Choice{index + len(HEADER)}"
 
-    def frame(self, spark: SparkSession) -> DataFrame:
-        """col_idx, contest, choice of columns that belong to a contest: a small dimension table."""
-        return spark.createDataFrame([(c.index, c.contest, c.choice) for c in self.columns if c.contest], "col_idx int, contest string, choice string")
+    def frame(self, spark: SparkSession, blank_names: bool = True, beyond: bool = True) -> DataFrame:
+        """col_idx, contest, choice of columns that belong to a contest: a small dimension table. blank_names: choices
+        without a name stay so, else they get one; beyond: with the columns that the choices row does not reach."""
+        rows = [(c.index, c.contest, c.choice if blank_names else self.choice_name(c.index)) for c in self.columns if c.contest and (beyond or c.named)]
+        return spark.createDataFrame(rows, "col_idx int, contest string, choice string")

