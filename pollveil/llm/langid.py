@@ -24,6 +24,8 @@ from pollveil.llm.common import cut, fold, table
 
 #: Labelled documents a language for fitting, about.
 TRAIN_ROWS = 2000
+#: Languages whose shares are broadcast at most (10 MB); with more, the texts are dealt by language.
+BROADCAST_LANGUAGES = 100_000
 GRAM_BITS = 16
 N_FEATURES = 2 << GRAM_BITS
 SMOOTHING = 0.5
@@ -134,7 +136,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
     known = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
     sizes = cut(known.groupBy("lang").count())
     share = sizes.select("lang", F.least(F.lit(1.0), rows / F.col("count")).alias("share"))
-    sample = known.join(share, "lang").where(F.pmod(F.xxhash64("id", F.lit("train")), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("text", "lang")
+    few = sizes.count() <= BROADCAST_LANGUAGES
+    sample = known.join(F.broadcast(share) if few else share, "lang").where(F.pmod(F.xxhash64("id", F.lit("train")), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}

@@ -10,8 +10,9 @@ SimHash links of a few bits miss most pairs of similarity 0.8; this module compl
    the same nodes are one. Nodes that these pairs, once checked, leave outside a group's largest component are compared
    with all others of the group. Sizes and positions rule out pairs that cannot be similar.
 4. Sketches of SKETCH_BITS bits, each the parity of the shingles that fall on it, differ in no more bits than the sets do
-   in shingles: pairs whose sketches differ too much are out.
-5. Every other pair is checked on the whole sets, made again from the texts of the nodes in question alone."""
+   in shingles: pairs whose sketches differ too much are out. Sets of more shingles than that have a second sketch, as
+   long as the set, that decides before whole sets are moved.
+5. Every other pair is checked on the whole sets, made again from one text for each node in question."""
 
 from __future__ import annotations
 
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pollveil.llm.common import cut, grown_partitions, stash
@@ -31,7 +32,7 @@ SIMILAR = (4, 5)
 SAMPLE, MAX_FREQUENT = 1 << 13, 1 << 18
 #: Postings of a bucket, about (20 MB in a task); postings that a task packs at once.
 BUCKET_POSTINGS, PACK_POSTINGS, PACK_DOCUMENTS = 1 << 20, 1 << 19, 1 << 16
-#: Keys that are broadcast at most (16 MB); more are joined by a shuffle.
+#: Keys and ids that are broadcast at most (32 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 STEP = 256
 SKETCH_BITS = 1024
@@ -65,11 +66,17 @@ def set_key(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(own.astype("<u8").tobytes())).view(np.int64))
 
 
-def sketch(own: np.ndarray) -> bytes:
-    odd = np.bincount((own & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+def sketch(own: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
+    """Parities of the hashes by their lowest bits; one half xor the other is the sketch of half the length."""
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def wide_sketch(own: np.ndarray) -> np.ndarray | None:
+    """The second sketch of a large set, in 64-bit numbers: a power of two of bits, one or two for each hash."""
+    return np.frombuffer(sketch(own, 1 << (len(own) - 1).bit_length()), np.int64) if len(own) > SKETCH_BITS else None
+
+
 def needed(a, b):
     """Shingles that sets of a and b shingles share at least where they are similar."""
     up, down = SIMILAR
@@ -268,6 +275,18 @@ def across(groups: DataFrame, roots: DataFrame, marked: DataFrame) -> DataFrame:
     return rows.repartition(parts, "gid").sortWithinPartitions("gid", "n", "key").mapInArrow(_across, "a long, b long").distinct()
 
 
+def _apart(x: Column, y: Column) -> Column:
+    """Bits in which two wide sketches differ. The longer one is folded; similar sets are one fold apart at most."""
+
+    def folded(c: Column, to: Column) -> Column:
+        half = F.zip_with(F.slice(c, F.lit(1), to), F.slice(c, to + 1, to), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(c) == 2 * to, half).otherwise(c)
+
+    short = F.least(F.size(x), F.size(y))
+    bits = F.zip_with(folded(x, short), folded(y, short), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.aggregate(bits, F.lit(0), lambda total, n: total + n)
+
+
 def _sketched(pairs: DataFrame, marked: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sketches and sizes do not rule them out; loses no similar pair."""
     own = marked.groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -278,37 +297,49 @@ def _sketched(pairs: DataFrame, marked: DataFrame) -> DataFrame:
         for batch in batches:
             m, n = batch.column("m").to_numpy(), batch.column("n").to_numpy()
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64) for c in ("x", "y"))
-            keep = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= m + n - 2 * needed(m, n)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
+            most = m + n - 2 * needed(m, n)
+            keep = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most
+            large = np.minimum(m, n) > SKETCH_BITS
+            columns = [*(batch.column(c) for c in ("a", "b")), pa.array(most, pa.int64()), pa.array(large)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in columns], ["a", "b", "most", "large"])
 
-    return both.mapInArrow(check, "a long, b long")
+    kept = cut(both.mapInArrow(check, "a long, b long, most long, large boolean"))
+    large = kept.where("large")
+    names = large.select(F.col("a").alias("key")).unionAll(large.select(F.col("b").alias("key"))).distinct()
+    wide = marked.where("wide is not null").select("key", "wide").join(names, "key", "left_semi").groupBy("key").agg(F.first("wide").alias("wide"))
+    large = large.join(wide.select(F.col("key").alias("a"), F.col("wide").alias("x")), "a").join(wide.select(F.col("key").alias("b"), F.col("wide").alias("y")), "b")
+    return kept.where("not large").select("a", "b").unionAll(large.where(_apart(F.col("x"), F.col("y")) <= F.col("most")).select("a", "b"))
 
 
 def similar(pairs: DataFrame, docs: DataFrame, marked: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """The pairs (a, b) of keys whose whole sets are similar, as (u, v). docs has `text`; marked key, n and sketch."""
+    """The pairs (a, b) of keys whose whole sets are similar, as (u, v). docs has id and text; marked id, key, n and the
+    sketches. A node's set is made from the texts of its smallest id, or, where that is null, of all null ids."""
     up, down = SIMILAR
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     pairs = cut(_sketched(pairs, marked))
-    keys = cut(pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct())
+    keys = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct()
+    keys = cut(marked.select("key", "id").join(keys, "key", "left_semi").groupBy("key").agg(F.min("id").alias("id")))
     few = keys.count() <= BROADCAST_ROWS
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The hashes of each text; of texts that came with a key, only those that have it."""
         for batch in batches:
             for i in range(0, batch.num_rows, STEP):
-                own = [np.unique(hashed(t.as_py(), words)) for t in batch.column(0).slice(i, STEP)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in own], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in own], pa.binary())], ["key", "hashes"])
-
-    sets = docs.select("text").mapInArrow(make, "key long, hashes binary").join(F.broadcast(keys) if few else keys, "key", "left_semi")
+                want = batch.column(0).slice(i, STEP).to_pylist()
+                own = [np.unique(hashed(t.as_py(), words)) for t in batch.column(1).slice(i, STEP)]
+                key = [set_key(x) for x in own]
+                keep = [j for j, (k, w) in enumerate(zip(key, want, strict=True)) if w is None or k == w]
+                yield pa.RecordBatch.from_arrays([pa.array([key[j] for j in keep], pa.int64()), pa.array([own[j].view(np.int64) for j in keep], pa.list_(pa.int64()))], ["key", "hashes"])
+
+    def some(x: DataFrame) -> DataFrame:
+        return F.broadcast(x) if few else x
+
+    sets = docs.join(some(keys.where("id is not null")), "id").select("key", "text").mapInArrow(make, "key long, hashes array<long>")
+    nameless = keys.where("id is null").select("key")
+    if nameless.limit(1).count():
+        every = docs.where("id is null").select(F.lit(None).cast("long").alias("key"), "text").mapInArrow(make, "key long, hashes array<long>")
+        sets = sets.unionAll(every.join(some(nameless), "key", "left_semi"))
     sets = stash(sets.dropDuplicates(["key"]))
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(down * shared >= up * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], ["u", "v"])
-
-    return cut(both.select("a", "b", "x", "y").mapInArrow(check, "u long, v long"))
+    both = both.select("a", "b", (F.size("x") + F.size("y")).cast("long").alias("sizes"), F.size(F.array_intersect("x", "y")).cast("long").alias("shared"))
+    return cut(both.where(down * F.col("shared") >= up * (F.col("sizes") - F.col("shared"))).select(F.col("a").alias("u"), F.col("b").alias("v")))

@@ -232,22 +232,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def _marked(docs: DataFrame, words: int) -> DataFrame:
-    """docs (id, text) -> id, key (of the set of shingles), n (its size), sketch (shingles.sketch), fp (fingerprint of the same
-    shingles)."""
+    """docs (id, text) -> id, key (of the set of shingles), n (its size), sketch and wide (shingles.sketch, wide_sketch), fp
+    (fingerprint of the same shingles)."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, n, sketch, fp = [], [], [], []
+            key, n, sketch, wide, fp = [], [], [], [], []
             for t in batch.column("text"):
                 h = shingles.hashed(t.as_py(), words)
                 own = np.unique(h)
                 key.append(shingles.set_key(own))
                 n.append(len(own))
                 sketch.append(shingles.sketch(own))
+                wide.append(shingles.wide_sketch(own))
                 fp.append(shingles.majority(h))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(sketch, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64))], ["id", "key", "n", "sketch", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(sketch, pa.binary()), pa.array(wide, pa.list_(pa.int64())), pa.array(np.array(fp, np.uint64).view(np.int64))], ["id", "key", "n", "sketch", "wide", "fp"])
 
-    return docs.mapInArrow(mark, f"id {dict(docs.dtypes)['id']}, key long, n long, sketch binary, fp long")
+    return docs.mapInArrow(mark, f"id {dict(docs.dtypes)['id']}, key long, n long, sketch binary, wide array<long>, fp long")
 
 
 def similar_groups(docs: DataFrame, words: int = shingles.SHINGLE_WORDS, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:

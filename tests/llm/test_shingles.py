@@ -76,3 +76,40 @@ def test_near_dedup_at_the_edges(spark):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 5, 6, 7]
     assert simhash.keep_one(docs.where("false")).count() == 0
+
+
+def test_near_dedup_of_long_texts(spark):
+    """Sets with a second sketch, of lengths on both sides of a power of two, that share passages with each other."""
+    rng = np.random.default_rng(3)
+    passages = [[f"p{i}_{j}" for j in range(300)] for i in range(8)]
+    rows = []
+    for size in (900, 1030, 1900, 2040, 2100, 4090):
+        base = [f"{size}_{i}" for i in range(size)]
+        for k, changed in enumerate((0, 10, size // 60, size // 25, size // 8)):
+            own = list(base)
+            for at in rng.choice(len(own), changed, replace=False):
+                own[at] = f"y{rng.integers(1 << 30)}"
+            rows.append((len(rows), " ".join(own[: len(own) - 15 * k] + passages[int(rng.integers(8))]), "en", "a"))
+    for _ in range(20):
+        rows.append((len(rows), " ".join([f"z{i}" for i in rng.integers(0, 1 << 40, 1200)] + passages[0] + passages[1]), "en", "a"))
+    docs = documents(spark, [rows[i] for i in rng.permutation(len(rows))])
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == plain_kept(docs.collect())
+
+
+def test_folded_sketches_differ_in_no_more_bits_than_the_sets():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        every = np.unique(rng.integers(0, 1 << 63, 2600).astype(np.uint64))
+        a, b = every[: int(rng.integers(1100, 2600))], every[int(rng.integers(0, 300)) :]
+        x, y = shingles.wide_sketch(a), shingles.wide_sketch(b)
+        while len(x) != len(y):
+            x, y = (v if len(v) == min(len(x), len(y)) else v[: len(v) // 2] ^ v[len(v) // 2 :] for v in (x, y))
+        assert np.bitwise_count((x ^ y).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
+
+
+def test_near_copies_without_an_id(spark):
+    text = [f"w{i}" for i in range(100)]
+    other = " ".join("x" if i == 50 else w for i, w in enumerate(text))
+    docs = documents(spark, [(None, " ".join(text), "en", "a"), (None, other, "en", "a"), (None, "something else that is quite short", "en", "a"), (5, other, "en", "a"), (5, " ".join(reversed(text)), "en", "a")])
+    assert [r.doc_id for r in simhash.keep_one(docs).collect()].count(5) == 2
+    assert simhash.keep_one(docs).count() == 3
