@@ -44,14 +44,21 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of the session hold BATCH_ROWS rows at most; a smaller setting stays. For programs that
+    hand out DataFrames of whole texts whose action is not theirs."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = int(spark.conf.get(name))
+    spark.conf.set(name, str(min(own, BATCH_ROWS) if own > 0 else BATCH_ROWS))
+
+
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Within, Arrow batches to and from Python hold BATCH_ROWS rows at most: rows are whole texts or sets of their hashes,
     so that the session's number of rows could be many times what a task may hold."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
-    own = int(before)
-    spark.conf.set(name, str(min(own, BATCH_ROWS) if own > 0 else BATCH_ROWS))
+    bound_batches(spark)
     try:
         yield
     finally:

@@ -178,6 +178,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFr
                     so_far[s] += len(x)
                 columns = [pa.array([part] * len(ids), pa.int32()), pa.array(sources), some.column("doc_id"), pa.array(before, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["part", "source", "doc_id", "before", "n", "ids"])
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text", F.col("source").cast("string")).mapInArrow(encode, f"part int, source string, doc_id {kind}, before long, n long, ids binary")

@@ -247,6 +247,7 @@ def _marked(docs: DataFrame, words: int) -> DataFrame:
                 wide.append(shingles.wide_sketch(own))
                 fp.append(shingles.majority(h))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(sketch, pa.binary()), pa.array(wide, pa.list_(pa.int64())), pa.array(np.array(fp, np.uint64).view(np.int64))], ["id", "key", "n", "sketch", "wide", "fp"])
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return docs.mapInArrow(mark, f"id {dict(docs.dtypes)['id']}, key long, n long, sketch binary, wide array<long>, fp long")
 

@@ -10,7 +10,7 @@ import base64
 import json
 import os
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -34,8 +34,9 @@ class Tokenizer:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         # Where no two white-space characters meet, the look-ahead for runs of them decides nothing.
         single = public_tokenizers.PATTERN.replace(r"|\s+(?!\S)", "")
-        self._any = tiktoken.Encoding("any", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._single = tiktoken.Encoding("single", pat_str=single, mergeable_ranks=ranks, special_tokens={})
+        # Each encoding holds the whole vocabulary, and is made when a text first needs it.
+        self._make = lambda name, pattern: tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self._patterns = {"any": public_tokenizers.PATTERN, "single": single}
         self.dtype = np.dtype("<u2" if max(ranks.values()) < 65536 else "<u4")
         self.n_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, i in ranks.items():
@@ -53,6 +54,14 @@ class Tokenizer:
             self.dtype = np.dtype("<u2" if len(more) <= 65536 else "<u4")
         self._added = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
 
+    @cached_property
+    def _any(self):
+        return self._make("any", self._patterns["any"])
+
+    @cached_property
+    def _single(self):
+        return self._make("single", self._patterns["single"])
+
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, self.dtype)
