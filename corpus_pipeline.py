@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pollveil.llm.common import stash, table
+from pollveil.llm.common import bound_batches, stash, table
 from pollveil.llm.decontaminate import keep_clean
 from pollveil.llm.langid import keep_identified
 from pollveil.llm.packing import digests, pack
@@ -16,21 +16,25 @@ from pollveil.llm.simhash import keep_one
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those between two languages."""
+    bound_batches(spark)
     return keep_identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near-duplicates: five words, similarity 0.8 or more."""
+    bound_batches(spark)
     return keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which an item of the benchmark occurs."""
+    bound_batches(spark)
     return keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into windows of the sources' shares: a row for each piece of a document."""
+    bound_batches(spark)
     return digests(pack(docs))
 
 
