@@ -4,12 +4,14 @@ A page is cut at block-level tags into text blocks. A block's features are its o
 link densities, its kind of tag, whether an ancestor marks an article, page furniture, or is named like furniture, and
 whether only other blocks of the page lie in an article.
 The tree is grown (Gini, depth at most MAX_DEPTH) on a small table of labelled blocks, which `labelled_pages` makes by
-rule from page layouts. Blocks that the tree accepts are joined in page order."""
+rule from page layouts: some with telling tags or names, others on which only words, links and neighbours tell. Blocks
+that the tree accepts are joined in page order."""
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -32,6 +34,10 @@ FURNITURE = set("aside button dialog fieldset footer form label menu nav search
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 GOOD_NAMES = set("article articlebody content entry main post story".split())
 BAD_NAMES = set("ad ads adsbygoogle adv advert advertisement advertising adverts advertorial alert banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies discussion disqus gdpr menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promotion recommended related replies reply respond responses search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe teaser toolbar widget widgets".split())
+#: Names of furniture that are words of articles as well: at an end of a name they count only alone, or where all of its
+#: other tokens are names of furniture or of plain containers.
+UNSURE = set("alert discussion header login menu notice recommended related replies reply respond responses search share sharing skip social".split())
+CONTAINERS = set("area bar block body box btn button buttons card container content desktop form grid group head icons id info inner inline item items label left link links list main mobile module outer page panel posts right row section site slot stories sub text title tools top unit view wrap wrapper".split())
 BAD_OUTSIDE = set("bottom copyright footer header latest legal login masthead popular recent site topbar trending".split())
 _TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<[a-zA-Z!?/][^>]*\Z", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -61,7 +67,9 @@ def _names(attributes: str, tag: str, in_article: bool) -> tuple[bool, bool]:
             if not tokens or {"has", "no", "with", "without"} & set(tokens):
                 continue
             ends = {tokens[0], tokens[-1]}
-            bad |= bool(ends & BAD_NAMES) or not in_article and bool(ends & BAD_OUTSIDE)
+            listed = BAD_NAMES if in_article else BAD_NAMES | BAD_OUTSIDE
+            plain = all(t in listed or t in CONTAINERS or t.isdigit() for t in tokens)
+            bad |= bool(ends & listed - (set() if plain else UNSURE))
             good |= bool(set(tokens) & GOOD_NAMES)
     if tag in ("html", "body", "main"):
         bad = False
@@ -73,6 +81,7 @@ def blocks(page: str | None) -> list[Block]:
     page = page or ""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool, bool]] = []
+    open_tags = Counter[str]()
     state = (False, False, False)  # in an article, in furniture, named bad
     text: list[str] = []
     linked: list[str] = []
@@ -116,14 +125,17 @@ def blocks(page: str | None) -> list[Block]:
         if tag in STRUCTURE:
             link = False
             if closing:
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-                if depth is not None:
-                    del stack[depth:]
+                while open_tags[tag]:  # what is open inside ends as well; an end tag without a start means nothing
+                    top = stack.pop()[0]
+                    open_tags[top] -= 1
+                    if top == tag:
+                        break
             else:
                 article, furniture, bad = state
                 good, named = _names(m[3], tag, article)
                 article |= tag in ("article", "main") or good
                 furniture |= tag in FURNITURE or tag == "header" and not article
+                open_tags[tag] += 1
                 stack.append((tag, article, furniture, bad or named or bool(_HIDDEN.search(m[3]))))
             state = stack[-1][1:] if stack else (False, False, False)
         if tag in RAW and not closing and not m[3].endswith("/"):
@@ -215,9 +227,42 @@ def labelled_pages() -> list[tuple[str, list[bool]]]:
                 # Furniture that no name gives away: around an article of any size, else short, or links.
                 plain = size if a < 3 else 1 + j % 3
                 out.append([(f"<div>{say(plain)}</div>", 1, False), (f"<ul>{links(5)}</ul>", 5, False), *text, (f"<p>{say(plain)}</p>", 1, False), (f"<div>{links(2)}</div>", 2, False)])
+    out += _plain_pages(say)
     return [("<body>" + "".join(p for p, _, _ in parts) + "</body>", [label for _, n, label in parts for _ in range(n)]) for parts in out]
 
 
+def _plain_pages(say) -> list[list[tuple[str, int, bool]]]:
+    """Labelled pages on which neither tags nor names tell text from furniture: lengths, links and neighbours do. The
+    furniture is short or full of links and stands together; a short paragraph has long ones around it."""
+    out: list[list[tuple[str, int, bool]]] = []
+    anchor = lambda n: f"<a href='/'>{say(n)}</a>"
+    for i in range(240):
+        size = lambda low, high, step: low + (i * step + step // 2) % (high - low)  # noqa: B023, E731
+        menus = (
+            [(f"<p>{anchor(1 + j % 4)}</p>", 1, False) for j in range(size(2, 9, 5))],
+            [("<p>" + " / ".join(anchor(1 + j % 3) for j in range(size(2, 10, 3))) + "</p>", 1, False)],
+            [(f"<li>{anchor(2 + j % 2)}</li>", 1, False) for j in range(size(3, 8, 7))],
+            [(f"<div>{say(size(1, 4, 3))} {anchor(size(2, 6, 5))}</div>", 1, False)],
+        )
+        parts: list[tuple[str, int, bool]] = [(f"<p>{say(size(1, 11, 7))}</p>", 1, False)] if i % 3 else [(f"<div>{anchor(size(1, 5, 3))}</div>", 1, False)]
+        parts += menus[i % 4]
+        parts += [(f"<p>{say(size(1, 11, 3))}</p>", 1, False)] if i % 5 < 3 else []
+        parts += [(f"<h1>{say(size(2, 12, 7))}</h1>", 1, True)]
+        for j in range(size(1, 7, 5)):
+            n = 16 + (i * 37 + j * 53) % 150
+            links = f" {anchor(1 + (i + j) % 5)} {say(3)}" if (i + j) % 3 == 0 else ""
+            parts += [(f"<p>{say(n)}{links}</p>", 1, True)]
+            if (i + 2 * j) % 5 == 0:  # a short one inside
+                parts += [(f"<p>{say(3 + (i + j) % 12)}</p>", 1, True), (f"<p>{say(25 + n // 2)}</p>", 1, True)]
+            if (i + j) % 7 == 0:
+                parts += [(f"<h2>{say(2 + j)}</h2>", 1, True), (f"<p>{say(40 + n // 3)}</p>", 1, True)]
+        parts += [(f"<p>{anchor(3 + (i + j) % 9)}</p>", 1, False) for j in range(size(2, 6, 3))] if i % 2 else []
+        parts += menus[(i // 4) % 4] if i % 7 < 5 else []
+        parts += [(f"<p>{say(size(2, 12, 5))} {anchor(size(1, 4, 3))}</p>", 1, False)] if i % 4 else [(f"<div>{say(size(2, 12, 5))}</div>", 1, False)]
+        out.append(parts)
+    return out
+
+
 @lru_cache(maxsize=1)
 def trained():
     """The tree grown on the labelled table."""
