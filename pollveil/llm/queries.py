@@ -5,6 +5,8 @@ from __future__ import annotations
 from pollveil.llm.decontaminate import op4_qgram_decontamination
 from pollveil.llm.hmm import op6_hmm_language_model
 from pollveil.llm.htmltext import op5_html_main_text
+from pollveil.llm.infill import op13_fill_in_middle
+from pollveil.llm.infill import oracle as op13_oracle
 from pollveil.llm.isomedia import op3_iso_media
 from pollveil.llm.langid import op8_ecoc_language_id
 from pollveil.llm.licenses import op10_license_scan
@@ -26,5 +28,6 @@ QUERIES = {
     "op8_ecoc_language_id": op8_ecoc_language_id,
     "op9_mixture_packing": op9_mixture_packing,
     "op10_license_scan": op10_license_scan,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
-ORACLE_SQL: dict[str, str] = {"op7_bloom_url_filter": op7_oracle(), "op10_license_scan": op10_oracle()}
+ORACLE_SQL: dict[str, str] = {"op7_bloom_url_filter": op7_oracle(), "op10_license_scan": op10_oracle(), "op13_fill_in_middle": op13_oracle()}
