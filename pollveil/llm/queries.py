@@ -11,6 +11,8 @@ from pollveil.llm.isomedia import op3_iso_media
 from pollveil.llm.langid import op8_ecoc_language_id
 from pollveil.llm.licenses import op10_license_scan
 from pollveil.llm.licenses import oracle as op10_oracle
+from pollveil.llm.linededup import op11_line_dedup
+from pollveil.llm.linededup import oracle as op11_oracle
 from pollveil.llm.packing import op9_mixture_packing
 from pollveil.llm.simhash import op1_simhash_near_dedup
 from pollveil.llm.token_spans import op2_section_token_counts
@@ -28,6 +30,7 @@ QUERIES = {
     "op8_ecoc_language_id": op8_ecoc_language_id,
     "op9_mixture_packing": op9_mixture_packing,
     "op10_license_scan": op10_license_scan,
+    "op11_line_dedup": op11_line_dedup,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
-ORACLE_SQL: dict[str, str] = {"op7_bloom_url_filter": op7_oracle(), "op10_license_scan": op10_oracle(), "op13_fill_in_middle": op13_oracle()}
+ORACLE_SQL: dict[str, str] = {"op7_bloom_url_filter": op7_oracle(), "op10_license_scan": op10_oracle(), "op11_line_dedup": op11_oracle(), "op13_fill_in_middle": op13_oracle()}
