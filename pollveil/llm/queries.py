@@ -14,6 +14,7 @@ from pollveil.llm.licenses import oracle as op10_oracle
 from pollveil.llm.linededup import op11_line_dedup
 from pollveil.llm.linededup import oracle as op11_oracle
 from pollveil.llm.packing import op9_mixture_packing
+from pollveil.llm.repeats import op12_periodic_runs
 from pollveil.llm.simhash import op1_simhash_near_dedup
 from pollveil.llm.token_spans import op2_section_token_counts
 from pollveil.llm.urlfilter import op7_bloom_url_filter
@@ -31,6 +32,7 @@ QUERIES = {
     "op9_mixture_packing": op9_mixture_packing,
     "op10_license_scan": op10_license_scan,
     "op11_line_dedup": op11_line_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLE_SQL: dict[str, str] = {"op7_bloom_url_filter": op7_oracle(), "op10_license_scan": op10_oracle(), "op11_line_dedup": op11_oracle(), "op13_fill_in_middle": op13_oracle()}
