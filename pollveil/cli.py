@@ -14,7 +14,7 @@ from pollveil.operators import release as R
 from pollveil.operators import styles as S
 from pollveil.operators import tally as T
 from pollveil.plans.model import Config, CvrError
-from pollveil.sources import cvrfile
+from pollveil.sources import cvrfile, scan, sink
 from pollveil.sources.synthetic import LAYOUT, synthetic_case
 
 # The sheets' file names.
@@ -27,9 +27,10 @@ def _show(title: str, found: DataFrame, *order: str) -> None:
         print("  " + "  ".join(str(x) for x in r))
 
 
-def anonymize(spark: SparkSession, source: str, target: str, config: Config, summarize: bool = False) -> R.Release:
-    """Reads, releases, verifies, and only then writes. A target that ends in .parquet gets Parquet."""
-    file = cvrfile.read(spark, source, config)
+def anonymize(spark: SparkSession, source: str, target: str, config: Config, summarize: bool = False, parts: bool = False, range_bytes: int | None = None) -> R.Release:
+    """Reads, releases, verifies, and only then writes: one local file, or with `parts` a folder that executors write. A
+    target that ends in .parquet gets Parquet. range_bytes: CSV is read by byte ranges of that size."""
+    file = scan.scan_csv(spark, source, config, range_bytes) if range_bytes else cvrfile.read(spark, source, config)
     analysis = S.analyze(file.ballots, file.layout, config.min_ballots)
     _show("CVR styles and their names:", analysis.cvr_styles, "style")
     for title, found in (("several CVR styles", analysis.shared_patterns), ("several ballot types", analysis.shared_ballot_types)):
@@ -40,6 +41,8 @@ def anonymize(spark: SparkSession, source: str, target: str, config: Config, sum
     release = R.anonymize(file.ballots, file.layout, config)
     if cvrfile.is_parquet(target):
         release.output.write.parquet(target)
+    elif parts:
+        sink.write_release(release.output, file.preamble, target, file.terminator)
     else:
         cvrfile.write_csv(release.output, file.preamble, target, file.terminator)
     report(release, target)
@@ -133,6 +136,8 @@ def main(args: list[str] | None = None) -> int:
     a.add_argument("--stylecol", type=int, default=6)
     a.add_argument("--headerlen", type=int, default=8)
     a.add_argument("--summarize", "-s", action="store_true")
+    a.add_argument("--parts", action="store_true", help="write a folder of parts by executors in place of one file")
+    a.add_argument("--range-mb", type=int, help="read CSV by byte ranges of so many megabytes")
     a.add_argument("--mode", choices=["spec", "compat"], default="spec")
     g = commands.add_parser("guess")
     g.add_argument("original", nargs="?")
@@ -147,7 +152,7 @@ def main(args: list[str] | None = None) -> int:
         spark.sparkContext.setCheckpointDir(own.checkpoint_dir)
     try:
         if own.command == "anonymize":
-            anonymize(spark, own.input, own.output, Config(own.min_ballots, own.stylecol, own.headerlen, own.mode), own.summarize)
+            anonymize(spark, own.input, own.output, Config(own.min_ballots, own.stylecol, own.headerlen, own.mode), own.summarize, own.parts, own.range_mb * (1 << 20) if own.range_mb else None)
         else:
             print("\n".join(guess(spark, own.original, own.anonymized_cvr, own.min_ballots, election=own.election_name)))
     except (CvrError, OSError) as e:

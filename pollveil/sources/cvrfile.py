@@ -202,7 +202,7 @@ def as_lines(rows: DataFrame) -> DataFrame:
 
 def write_csv(rows: DataFrame, preamble: list[list[str]], path: str, terminator: str = "\n") -> None:
     """One local file: the preamble as it was, then rows in their order, streamed partition by partition. It appears
-    under its name only once it is whole. Releases too large for one file are written by `write_parts`."""
+    under its name only once it is whole. Releases too large for one file are written by `sink.write_release`."""
     staged = f"{path}.part"
     with open(staged, "w", encoding="utf-8", newline="") as out:
         csv.writer(out, lineterminator=terminator).writerows(preamble)
@@ -211,11 +211,6 @@ def write_csv(rows: DataFrame, preamble: list[list[str]], path: str, terminator:
     os.replace(staged, path)
 
 
-def write_parts(rows: DataFrame, path: str) -> None:
-    """A folder of text parts in order, without the preamble."""
-    as_lines(rows).write.text(path)
-
-
 def write_sheet(sheet: DataFrame, path: str) -> None:
     """A probability sheet in the voters' order as one local file."""
     ordered = sheet.orderBy(F.substring("Voter", 2, 20).cast("long"))
