@@ -15,18 +15,18 @@ from pollveil.operators import release as R
 from pollveil.operators import styles as S
 from pollveil.operators import tally as T
 from pollveil.plans.model import Config
-from pollveil.plans.oracle import SELECTS, WHOLE, WHOLE_SUFFIX
+from pollveil.plans.oracle import FOLD, SELECTS, WHOLE, WHOLE_SUFFIX
 from pollveil.plans.store import cut
 from pollveil.sources import lens, longform
 from pollveil.sources.synthetic import synthetic_case
 
 
 class Case:
-    """The ballots of one slice, lazily."""
+    """The ballots of the lens, lazily."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, max_line: int | None, k: int):
+    def __init__(self, spark: SparkSession, sf_dir: str, fold: int | None, k: int):
         self.spark, self.sf_dir, self.k = spark, sf_dir, k
-        self.long = lens.long_votes(spark, sf_dir, max_line)
+        self.long = lens.long_votes(spark, sf_dir, fold)
         self._found: dict = {}
 
     def _once(self, name: str, make: Callable):
@@ -200,6 +200,7 @@ APPLY: dict[str, Callable[[Case], DataFrame]] = {
     "style_frequency": lambda c: X.style_frequency(c.unordered),
     "column_vectors": lambda c: X.column_vectors(S.style_groups(S.with_style(c.unordered, c.layout))),
     "column_cooccurrence": lambda c: X.column_cooccurrence(S.style_groups(S.with_style(c.unordered, c.layout))),
+    "column_groups": lambda c: X.column_groups(S.style_groups(S.with_style(c.unordered, c.layout))).withColumn("first_col", F.col("first_col").cast("long")),
     "undervotes_report": lambda c: T.undervotes(c.members, c.layout),
     "exclude_borrowed_pool": lambda c: c.pool.groupBy("sig").agg(F.count("*").alias("n")),
 }
@@ -214,7 +215,7 @@ def _release(mode: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = Case(spark, sf_dir, None, 15)
+    c = Case(spark, sf_dir, FOLD, 10)
     picked = B.cover_contests(c.pool, c.layout, c.needs, c.counts, c.k)
     return spark.createDataFrame([(i, p) for i, p in enumerate(picked)], "pick int, ord long")
 
@@ -226,11 +227,18 @@ def _contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, p) for i, p in enumerate(picked)], "pick int, ord long")
 
 
+def _first_precinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voters whose votes name several precincts: that of the first, and how many there are."""
+    long = lens.votes_by_supplier(spark, sf_dir)
+    several = longform.votes(long).groupBy("voter_id").agg(F.count_distinct("precinctPortionId").alias("precincts"))
+    return longform.voters(long, longform.layout(long)).select("voter_id", "style").join(several, "voter_id")
+
+
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    max_line, k, _ = (SELECTS | WHOLE)[name]
+    fold, k, _ = (SELECTS | WHOLE)[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = APPLY[name.removesuffix(WHOLE_SUFFIX)](Case(spark, sf_dir, max_line, k))
+        found = APPLY[name.removesuffix(WHOLE_SUFFIX)](Case(spark, sf_dir, fold, k))
         return found.withColumns({c: F.col(c).cast("long") for c, kind in found.dtypes if kind == "int" and c in ("col_idx", "i", "j")})  # as wide as the SQL's numbers
 
     return run
@@ -239,4 +247,4 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: _query(name) for name in SELECTS | WHOLE}
     found["synthetic_case"] = lambda spark, sf_dir: synthetic_case(spark).select("ord", "cvr_number", "style", _text())
-    return found | {"anonymize_spec": _release("spec"), "anonymize_compat": _release("compat"), "coverage_loop": _coverage, "contrast_loop": _contrast}
+    return found | {"anonymize_spec": _release("spec"), "anonymize_compat": _release("compat"), "coverage_loop": _coverage, "contrast_loop": _contrast, "precinct_by_first_vote": _first_precinct}

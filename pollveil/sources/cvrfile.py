@@ -174,7 +174,7 @@ def read_csv(spark: SparkSession, path: str, config: Config | None = None) -> Cv
 
 
 def read_parquet(spark: SparkSession, path: str) -> CvrFile:
-    long = spark.read.parquet(path)
+    long = longform.read(spark, path)
     layout = longform.layout(long)
     return CvrFile(longform.ballots(long, layout), layout, preamble_of(layout), "\n", 7)
 

@@ -2,11 +2,15 @@
 
 A voter with no true isVote row is on no ballot, and a contest counts as present if the voter has a vote in it. Votes are
 matched with columns by their names as they are, white space included; a column's contest and choice are shown without
-it. What names no voter, contest or candidate is refused."""
+it. What names no voter, contest or candidate is refused.
+
+A voter's style is the precinct of the voter's first vote in the source. Records have an order where they come from files
+(`read`): file by file, and by place in the file, which Spark knows as metadata and min_by carries through the grouping.
+Records without an order must name one precinct a voter. Both modes of a release go by this."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pollveil.plans.model import HEADER, CvrError, Layout
@@ -15,6 +19,20 @@ from pollveil.plans.store import numbered
 REQUIRED = ["voter_id", "contest", "candidate", "isVote", "precinctPortionId"]
 
 
+#: Column with a record's place in its source.
+PLACE = "__place"
+
+
+def file_place() -> Column:
+    """A record's place among the files that it is read from."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """Long records of Parquet files, with their places."""
+    return spark.read.parquet(path).select("*", file_place().alias(PLACE))
+
+
 def check_columns(df: DataFrame) -> None:
     if missing := sorted(set(REQUIRED) - set(df.columns)):
         raise CvrError(f"missing columns {missing}; found {df.columns}")
@@ -38,12 +56,17 @@ def layout(long: DataFrame) -> Layout:
 
 
 def voters(long: DataFrame, of: Layout) -> DataFrame:
-    """voter_id, style (the voter's precinct), columns (those the voter has a vote in). Raises, once it runs, where a
-    voter's rows name several precincts or none."""
+    """voter_id, style (the precinct of the voter's first vote), columns (those the voter has a vote in). Raises, once it
+    runs, where that vote names no precinct, or where votes without places name several."""
     columns = long.sparkSession.createDataFrame([(contest, candidate, i) for i, (contest, candidate) in enumerate(of.keys)], "__contest string, __candidate string, col_idx int")
     own = votes(long).join(F.broadcast(columns), (F.col("contest").cast("string") == F.col("__contest")) & (F.col("candidate").cast("string") == F.col("__candidate")))  # as wide as a ballot
-    grouped = own.groupBy("voter_id").agg(F.min("precinctPortionId").alias("low"), F.max("precinctPortionId").alias("high"), F.collect_set("col_idx").alias("columns"))
-    style = F.when(F.col("low") == F.col("high"), F.col("low").cast("bigint").cast("string")).otherwise(F.raise_error(F.concat(F.lit("several precincts, or none, of voter "), F.col("voter_id").cast("string"))))
+    if PLACE in long.columns:
+        grouped = own.groupBy("voter_id").agg(F.min_by("precinctPortionId", PLACE).alias("low"), F.collect_set("col_idx").alias("columns"))
+        good = F.col("low").isNotNull()
+    else:
+        grouped = own.groupBy("voter_id").agg(F.min("precinctPortionId").alias("low"), F.max("precinctPortionId").alias("high"), F.collect_set("col_idx").alias("columns"))
+        good = F.col("low") == F.col("high")
+    style = F.when(good, F.col("low").cast("bigint").cast("string")).otherwise(F.raise_error(F.concat(F.lit("several precincts, or none, of voter "), F.col("voter_id").cast("string"))))
     return grouped.select("voter_id", style.alias("style"), "columns")
 
 

@@ -8,7 +8,7 @@ import pytest
 from pollveil.plans import oracle, queries
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["lineitem", "orders", "customer"]
+TABLES = ["lineitem", "orders", "customer", "supplier"]
 
 
 def plain(x):

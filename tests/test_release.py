@@ -178,7 +178,8 @@ def test_coverage_loop_against_the_plain_one(spark):
     needs, counts = {"X": 4, "Y": 2}, {"X": {"A": 5, "B": 1}, "Y": {"A": 3}}
     by_hand = cover_by_hand(pool.collect(), needs, counts, 3)
     assert B.cover_contests(pool, TWO, needs, counts, 3) == by_hand
-    assert B.cover_contests(pool, TWO, needs, counts, 3, max_classes=0) == by_hand
+    for head in (1, 2, 3):
+        assert B.cover_contests(pool, TWO, needs, counts, 3, head=head) == by_hand
     assert B.cover_contests(pool.repartition(5), TWO, needs, counts, 3) == by_hand
 
 
@@ -240,6 +241,76 @@ def test_long_form(spark, tmp_path):
         longform.votes(long.drop("isVote"))
 
 
+LONG = "voter_id string, contest string, candidate string, isVote boolean, precinctPortionId double"
+
+
+def test_several_precincts_go_by_the_first_vote_in_the_source(spark, tmp_path):
+    rows = [("v1", "X", "A", False, 1.0), ("v1", "X", "B", True, 9.0), ("v2", "X", "A", True, 4.0), ("v1", "Y", "A", True, 2.0), ("v2", "Y", "B", True, 4.0), ("v1", "Z", "A", True, 5.0)]
+    long = spark.createDataFrame(rows, LONG)
+    long.coalesce(1).write.parquet(str(tmp_path / "one.parquet"))
+    file = cvrfile.read(spark, str(tmp_path / "one.parquet"))
+    assert [(r.imprinted, r.style) for r in file.ballots.orderBy("ord").collect()] == [("v1", "9"), ("v2", "4")]
+    for name, some in (("b", rows[:3]), ("a", rows[3:])):  # files by name
+        spark.createDataFrame(some, LONG).coalesce(1).write.parquet(str(tmp_path / f"two.parquet/part={name}"))
+    places = longform.read(spark, str(tmp_path / "two.parquet"))
+    assert {(r.voter_id, r.style) for r in longform.voters(places, longform.layout(places)).collect()} == {("v1", "2"), ("v2", "4")}
+    with pytest.raises(Exception, match="several precincts"):
+        longform.voters(long, longform.layout(long)).collect()
+    none = spark.createDataFrame([("v1", "X", "A", True, None), ("v1", "Y", "A", True, 1.0)], LONG)
+    none.coalesce(1).write.parquet(str(tmp_path / "none.parquet"))
+    with pytest.raises(Exception, match="or none, of voter v1"):
+        cvrfile.read(spark, str(tmp_path / "none.parquet")).ballots.collect()
+
+
+def test_long_records_that_name_nothing_are_refused_and_names_are_matched_as_they_are(spark):
+    good = [("v1", " X ", "A", True, 1.0), ("v1", "X", "A", True, 1.0), ("v2", "X", "B\t", True, 1.0)]
+    long = spark.createDataFrame(good, LONG)
+    of = longform.layout(long)
+    assert [(c.contest, c.choice) for c in of.columns] == [("X", "A"), ("X", "A"), ("X", "B")]
+    assert [r.cells for r in longform.ballots(long, of).orderBy("ord").collect()] == [["1", "1", "0"], ["", "0", "1"]]
+    for what, row in (("voter_id", (None, "X", "A", True, 1.0)), ("contest", ("v3", " \t", "A", True, 1.0)), ("contest", ("v3", None, "A", True, 1.0)), ("candidate", ("v3", "X", None, True, 1.0)), ("isVote", ("v3", "X", "A", None, 1.0))):
+        with pytest.raises(CvrError, match=f"without {what}"):
+            longform.layout(spark.createDataFrame([*good, row], LONG))
+
+
+def test_voters_without_contests_are_in_the_sheet(spark):
+    b = make(spark, [("1", "s", ["1", "0", "", ""]), ("2", None, ["", "", "", ""]), ("3", "s", ["0", "1", "1", "0"])], 4)
+    sheet = I.wide_sheet(I.ballot_probabilities(b, TWO, I.overall_probabilities(b, TWO)), TWO)
+    assert [tuple(r) for r in sheet.orderBy("Voter").collect()] == [("V1", "s", "0.5000", "0.5000", "", ""), ("V2", "", "", "", "", ""), ("V3", "s", "0.5000", "0.5000", "1.000", "0.0000")]
+
+
+def test_aggregates_and_blank_numbers_of_the_input_are_never_dropped(spark):
+    rows = [("AGGREGATED-1", "s", ["1", "0", "", ""]), ("", "s", ["1", "0", "", ""]), (" 7 ", "s", ["1", "0", "", ""]), ("7", "s", ["1", "0", "", ""]), ("8", "s", ["1", "0", "", ""])]
+    b = make(spark, rows, 4)
+    gone = b.where("cvr_number in ('AGGREGATED-1', '', '7')")
+    assert [r.cvr_number for r in R.without_aggregated(b, gone).orderBy("ord").collect()] == ["AGGREGATED-1", "", "8"]
+
+
+def test_compat_releases_what_a_drained_donor_has_left(spark):
+    rare = [(f"r{i}", "s", ["1", "0", "1", "0"]) for i in range(3)]
+    donors = [(f"d{i}", "s", ["0", "1", "", ""]) for i in range(5)] + [(f"e{i}", "s", ["", "", "0", "1"]) for i in range(6)]
+    own = make(spark, rare + donors, 4)
+    for mode, least in (("compat", 1), ("spec", 4)):
+        out = R.anonymize(own, TWO, Config(min_ballots=4, mode=mode))
+        sizes = sorted(r.n for r in S.style_groups(S.with_style(out.ballots, TWO)).collect())
+        assert sizes[0] >= least and not T.verify(own, out.output, TWO).where("difference <> 0").count()
+        assert out.ballots.count() + 3 + sum(out.stats[f"ballots_{x}"] for x in ("borrowed_for_minimum", "added_for_contests", "added_for_balancing")) == len(rare + donors)
+
+
+def test_long_numbers_sort_by_value(spark):
+    numbers = ["1" + "0" * 39, "9" * 38, "2" + "0" * 38, "+5", "1_0", "AGGREGATED-1-x", "x"]
+    assert [r.cvr_number for r in R.in_output_order(make(spark, [(n, "s", ["1"]) for n in numbers], 1)).collect()] == ["+5", "1_0", "9" * 38, "2" + "0" * 38, "1" + "0" * 39, "x", "AGGREGATED-1-x"]
+
+
+def test_a_preamble_longer_than_the_first_read(spark, tmp_path):
+    names = [f"contest {'x' * 60} {i}" for i in range(3000)]
+    path = tmp_path / "wide.csv"
+    with open(path, "w", newline="") as f:
+        csv.writer(f).writerows([["E"], [""] * 8 + names, [""] * 8 + ["A"] * 3000, cvrfile.HEADER_NAMES + ["A"] * 3000, ["1"] * 8 + ["1"] * 3000])
+    file = cvrfile.read(spark, str(path))
+    assert len(file.layout.columns) == 3000 and file.layout.columns[-1].contest == names[-1] and file.ballots.count() == 1
+
+
 def test_overvote_counts_first_choice(spark):
     own = I.overall_probabilities(make(spark, [("1", "s", ["1", "1", "", ""]), ("2", "s", ["0", "0", "", ""])], 4), TWO)
     assert {(r.choice, r.prob, r.undervote) for r in own.collect()} == {("A", 0.5, 0.5), ("B", 0.0, 0.5)}
