@@ -46,13 +46,20 @@ class Release:
     aggregate: DataFrame | None
     membership: DataFrame  # ord, bucket
     stats: dict = field(default_factory=dict)
-    rare_styles: DataFrame | None = None  # descriptive_name, ballot_count, original_styles (style, n): a row for each
+    rare_styles: DataFrame | None = None  # sig, descriptive_name, ballot_count, original_styles (style, n): a row for each
+    styles: DataFrame | None = None  # style, n: a row for each CVR style
 
     @property
     def output(self) -> DataFrame:
         rows = self.ballots if self.aggregate is None else self.ballots.unionByName(self.aggregate)
         return in_output_order(rows)
 
+    def all_stats(self) -> dict:
+        """stats, with style_counts (ballots of each CVR style) and rare_style_counts (name, ballots and CVR styles of each
+        rare style) collected: for reports on as many styles as a driver should hold."""
+        rare = [{"descriptive_name": r.descriptive_name, "ballot_count": r.ballot_count, "original_styles": [(s.style, s.n) for s in r.original_styles]} for r in self.rare_styles.orderBy("descriptive_name", "sig").collect()]
+        return self.stats | {"style_counts": {r["style"]: r["n"] for r in self.styles.orderBy("style").collect()}, "rare_style_counts": rare}
+
 
 def check_input(ballots: DataFrame, config: Config) -> None:
     """spec only: cells that tallies cannot count, and CVR numbers that name more than one ballot, are refused before
@@ -82,7 +89,7 @@ def anonymize(ballots: DataFrame, layout: Layout, config: Config | None = None)
     stats = {"total_rows": ballots.count(), "original_styles": sizes.styles, "rare_ballots_initial": sizes.rare, "min_ballots": k, "ballots_borrowed_for_minimum": 0, "contests_needing_ballots": {}, "ballots_added_for_contests": 0, "contests_needing_balancing": [], "ballots_added_for_balancing": 0, "aggregated_rows": 0, "final_styles": sizes.common}
     spark = ballots.sparkSession
     if not sizes.rare:
-        return Release(redact(ballots), None, styled.select("ord", F.lit("released").alias("bucket")), stats | {"rare_styles": 0}, S.rare_counts(styled, k))
+        return Release(redact(ballots), None, styled.select("ord", F.lit("released").alias("bucket")), stats | {"rare_styles": 0}, S.rare_counts(styled, k), S.cvr_style_counts(ballots))
 
     rare = S.with_rarity(styled, k).where("is_rare").select(styled.columns)
     borrowed = B.borrow_for_minimum(styled, k)
@@ -130,7 +137,7 @@ def anonymize(ballots: DataFrame, layout: Layout, config: Config | None = None)
     if mode == "spec":
         check_release(released, aggregate, members, layout, k)
     membership = members.select("ord", "bucket").unionByName(styled.join(members.select("ord"), "ord", "left_anti").select("ord", F.lit("released").alias("bucket")))
-    return Release(released, aggregate, membership, stats, S.rare_counts(styled, k))
+    return Release(released, aggregate, membership, stats, S.rare_counts(styled, k), S.cvr_style_counts(ballots))
 
 
 def _nested(totals: DataFrame) -> dict[str, dict[str, int]]:

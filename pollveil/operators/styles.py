@@ -38,7 +38,8 @@ def style_groups(styled: DataFrame) -> DataFrame:
 
 
 def cvr_style_counts(ballots: DataFrame) -> DataFrame:
-    return ballots.where(C.is_present(F.col("style"))).groupBy("style").agg(F.count("*").alias("n"))
+    """style (without white space around), n."""
+    return ballots.groupBy(C.strip(F.col("style")).alias("style")).agg(F.count("*").alias("n")).where("style <> ''")
 
 
 def rare_common(styled: DataFrame, min_ballots: int) -> DataFrame:
