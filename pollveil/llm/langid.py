@@ -26,6 +26,8 @@ from pollveil.llm.common import cut, fold, table
 TRAIN_ROWS = 2000
 #: Languages whose shares are broadcast at most (10 MB); with more, the texts are dealt by language.
 BROADCAST_LANGUAGES = 100_000
+#: Languages of whose codewords all pairs are compared.
+COMPARED = 256
 GRAM_BITS = 16
 N_FEATURES = 2 << GRAM_BITS
 SMOOTHING = 0.5
@@ -43,8 +45,9 @@ _PLAIN = bytes(c if c >= 128 else ord(chr(c).lower()) if chr(c).isalpha() else 3
 
 
 def code_matrix(n: int, seed: int = 7) -> np.ndarray:
-    """n rows of +1 and -1: all ways to part up to five languages in two; beyond that 15 log2(n) random columns, of
-    several draws the one whose closest rows are farthest apart."""
+    """n rows of +1 and -1: all ways to part up to five languages in two; beyond that 15 log2(n) random columns. Up to
+    COMPARED languages the draw of several counts whose closest rows are farthest apart; beyond, where all pairs are too
+    many, the first draw without equal rows: two rows of so many bits differ in about half of them."""
     if n <= 1:
         return np.ones((n, 1), np.int8)
     if n <= 5:
@@ -54,6 +57,10 @@ def code_matrix(n: int, seed: int = 7) -> np.ndarray:
     for _ in range(50):
         m = rng.choice(np.array([-1, 1], np.int8), (n, width))
         m = m[:, abs(m.sum(axis=0)) < n]
+        if n > COMPARED:
+            if len(np.unique(np.packbits(m > 0, axis=1), axis=0)) == n:
+                return m
+            continue
         d = (m.shape[1] - m.astype(int) @ m.T.astype(int)) // 2 + np.eye(n, dtype=int) * width
         if best is None or d.min() > best[0]:
             best = d.min(), m
@@ -97,15 +104,16 @@ def margins(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
 
 def decode(m: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row of the nearest codeword, a score from 0 to 1, and whether another is close."""
-    loss = np.logaddexp(0, -SCALE * m[:, None, :] * code[None, :, :]).sum(axis=2)
-    order = np.argsort(loss, axis=1, kind="stable")
-    best = order[:, 0]
-    gain = np.exp(loss.min(axis=1, keepdims=True) - loss)
-    score = 1 / gain.sum(axis=1)
+    one, zero = np.logaddexp(0, -SCALE * m), np.logaddexp(0, SCALE * m)
+    # A bit adds `one` or `zero` as its code says: half their sum, and half their difference with the code's sign.
+    loss = ((one + zero) / 2).sum(axis=1, keepdims=True) + ((one - zero) / 2) @ code.T.astype(float)
+    best, row = loss.argmin(axis=1), np.arange(len(m))
+    least = loss[row, best]
+    score = 1 / np.exp(least[:, None] - loss).sum(axis=1)
     if len(code) == 1:
         return best, score, np.zeros(len(m), bool)
-    ranked = np.take_along_axis(loss, order[:, :2], axis=1)
-    return best, score, (ranked[:, 1] - ranked[:, 0]) / code.shape[1] < AMBIGUOUS
+    loss[row, best] = np.inf
+    return best, score, (loss.min(axis=1) - least) / code.shape[1] < AMBIGUOUS
 
 
 def log_odds(counts: np.ndarray, totals: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -118,8 +126,8 @@ def log_odds(counts: np.ndarray, totals: np.ndarray, code: np.ndarray) -> np.nda
 
 
 class Model:
-    def __init__(self, languages: list[str], weights: np.ndarray):
-        self.languages, self.code, self.weights = languages, code_matrix(len(languages)), weights
+    def __init__(self, languages: list[str], weights: np.ndarray, code: np.ndarray | None = None):
+        self.languages, self.code, self.weights = languages, code_matrix(len(languages)) if code is None else code, weights
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language (und: no letter, or nothing was learned), score and whether it is ambiguous."""
@@ -176,7 +184,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
     blocks = summed.join(F.broadcast(place), "lang").withColumn("block", F.floor(F.col("feature") / BLOCK).cast("int")).select("block", "at", "feature", "n")
     for r in blocks.groupBy("block").applyInArrow(weigh, "block int, weights binary").toLocalIterator():  # N_FEATURES / BLOCK rows
         weights[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.weights, np.float32).reshape(BLOCK, -1)
-    return Model(names, weights)
+    return Model(names, weights, code)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", to: str = "language") -> DataFrame:
