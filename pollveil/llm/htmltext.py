@@ -1,8 +1,8 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
-A page is cut at block-level tags into text blocks. A block's features are its own and its neighbours' word counts and
-link densities, its kind of tag, whether an ancestor marks an article, page furniture, or is named like furniture, and
-whether only other blocks of the page lie in an article.
+A page is cut at block-level tags into text blocks; hidden elements have no text. A block's features are its own and its
+neighbours' word counts and link densities, its kind of tag, whether an ancestor marks an article, page furniture, or is
+named like furniture, the share of phrases that notices use, and whether only other blocks of the page lie in an article.
 The tree is grown (Gini, depth at most MAX_DEPTH) on a small table of labelled blocks, which `labelled_pages` makes by
 rule from page layouts: some with telling tags or names, others on which only words, links and neighbours tell. Blocks
 that the tree accepts are joined in page order."""
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from pollveil.llm.common import table
 
-MAX_DEPTH, MIN_LEAF = 8, 2
+MAX_DEPTH, MIN_LEAF = 12, 2
 # Names of HTML elements and of page parts.
 BLOCKS = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,17 +33,22 @@ STRUCTURE = set("article aside body button details dialog div fieldset figure fo
 FURNITURE = set("aside button dialog fieldset footer form label menu nav search select".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 GOOD_NAMES = set("article articlebody content entry main post story".split())
-BAD_NAMES = set("ad ads adsbygoogle adv advert advertisement advertising adverts advertorial alert banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies discussion disqus gdpr menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promotion recommended related replies reply respond responses search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe teaser toolbar widget widgets".split())
+BAD_NAMES = set("ad ads adsbygoogle adv advert advertisement advertising adverts advertorial alert banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies discussion disqus gdpr menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo recommended related replies reply respond responses search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe teaser toolbar".split())
 #: Names of furniture that are words of articles as well: at an end of a name they count only alone, or where all of its
 #: other tokens are names of furniture or of plain containers.
 UNSURE = set("alert discussion header login menu notice recommended related replies reply respond responses search share sharing skip social".split())
 CONTAINERS = set("area bar block body box btn button buttons card container content desktop form grid group head icons id info inner inline item items label left link links list main mobile module outer page panel posts right row section site slot stories sub text title tools top unit view wrap wrapper".split())
-BAD_OUTSIDE = set("bottom copyright footer header latest legal login masthead popular recent site topbar trending".split())
-_TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<[a-zA-Z!?/][^>]*\Z", re.S)
+BAD_OUTSIDE = set("bottom copyright footer header latest legal login masthead popular promotion recent site topbar trending widget widgets".split())
+#: A quote in a tag that is never closed ends with the tag.
+_TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*)>|<[!?/][^>]*>|<[a-zA-Z!?/][^>]*\Z", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+#: Inline elements whose hidden text is left out.
+INLINE = set("a abbr b cite code em font i mark small span strong sub sup time u".split())
+#: Phrases of notices about rights, cookies and accounts, in the languages of the pages: a weak sign, by their share of words.
+_CUES = re.compile(r"©|\bcopyright\b|\ball rights reserved\b|\bcookies?\b|\bprivacy policy\b|\bterms of (?:use|service)\b|\bnewsletter\b|\bsubscribe\b|\b(?:sign|log) in\b|\bconsent\b|\balle rechte vorbehalten\b|\bdatenschutz\w*|\bimpressum\b|\beinwilligung\b|\btodos los derechos reservados\b|\bpolítica de privacidad\b|\baviso legal\b|\btous droits réservés\b|\bpolitique de confidentialité\b|\bmentions légales\b", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-FEATURES = ("words", "link_density", "words_before", "density_before", "words_after", "density_after", "in_article", "in_furniture", "named_bad", "heading", "item", "article_elsewhere")
+FEATURES = ("words", "link_density", "words_before", "density_before", "words_after", "density_after", "in_article", "in_furniture", "named_bad", "heading", "item", "cues", "article_elsewhere")
 
 
 @dataclass
@@ -56,6 +61,7 @@ class Block:
     named_bad: bool
     heading: bool
     item: bool
+    cues: int
 
 
 def _names(attributes: str, tag: str, in_article: bool) -> tuple[bool, bool]:
@@ -86,6 +92,7 @@ def blocks(page: str | None) -> list[Block]:
     text: list[str] = []
     linked: list[str] = []
     tag_of, link, lower = "", False, ""
+    unseen, veil = False, [""]  # whether the block is hidden; hidden inline elements: their tag, once for each that is open
     at, end = 0, len(page)
 
     def flush() -> None:
@@ -93,10 +100,12 @@ def blocks(page: str | None) -> list[Block]:
         if text:
             own = " ".join("".join(text).split())
             if own:
-                out.append(Block(own, own.count(" ") + 1, len("".join(linked).split()), *state, tag_of in HEADINGS, tag_of in ("li", "option", "dt", "dd")))
+                out.append(Block(own, own.count(" ") + 1, len("".join(linked).split()), *state, tag_of in HEADINGS, tag_of in ("li", "option", "dt", "dd"), len(_CUES.findall(own))))
             text, linked = [], []
 
     def add(raw: str) -> None:
+        if unseen or veil[-1]:
+            return
         raw = html.unescape(raw) if "&" in raw else raw
         text.append(raw)
         if link:
@@ -122,6 +131,13 @@ def blocks(page: str | None) -> list[Block]:
         if tag in BLOCKS:
             flush()
             tag_of = "" if closing else tag
+            unseen = not closing and tag not in STRUCTURE and bool(_HIDDEN.search(m[3]))
+            del veil[1:]
+        elif tag in INLINE and (veil[-1] == tag or not closing and not veil[-1] and _HIDDEN.search(m[3])):
+            if closing:
+                veil.pop()
+            else:
+                veil.append(tag)
         if tag in STRUCTURE:
             link = False
             if closing:
@@ -149,7 +165,7 @@ def blocks(page: str | None) -> list[Block]:
 
 
 def features(found: list[Block]) -> np.ndarray:
-    own = np.array([(b.words, b.linked / b.words, b.in_article, b.in_furniture, b.named_bad, b.heading, b.item) for b in found], float).reshape(-1, 7)
+    own = np.array([(b.words, b.linked / b.words, b.in_article, b.in_furniture, b.named_bad, b.heading, b.item, b.cues / b.words) for b in found], float).reshape(-1, 8)
     edge = np.zeros((1, 2))
     before, after = np.concatenate([edge, own[:-1, :2]])[: len(own)], np.concatenate([own[1:, :2], edge])[: len(own)]
     elsewhere = (own[:, 2:3] == 0) & (own[:, 2] > own[:, 3] + own[:, 4]).any()
@@ -227,10 +243,73 @@ def labelled_pages() -> list[tuple[str, list[bool]]]:
                 # Furniture that no name gives away: around an article of any size, else short, or links.
                 plain = size if a < 3 else 1 + j % 3
                 out.append([(f"<div>{say(plain)}</div>", 1, False), (f"<ul>{links(5)}</ul>", 5, False), *text, (f"<p>{say(plain)}</p>", 1, False), (f"<div>{links(2)}</div>", 2, False)])
-    out += _plain_pages(say)
+    out += _plain_pages(say) + _short_articles(say) + _notices(say) + _last_lines(say)
     return [("<body>" + "".join(p for p, _, _ in parts) + "</body>", [label for _, n, label in parts for _ in range(n)]) for parts in out]
 
 
+def _short_articles(say) -> list[list[tuple[str, int, bool]]]:
+    """Labelled pages with one paragraph or a few, of any length, and links behind them: what stands in an article stays;
+    without one a long paragraph does, and the links go."""
+    out: list[list[tuple[str, int, bool]]] = []
+    link = lambda n: f"<a href='/'>{say(n)}</a>"
+    lists = {
+        "p": lambda j: [(f"<p>{link(2 + (3 * j + i) % 9)}</p>", 1) for i in range(1 + j % 3)],
+        "ul": lambda j: [("<ul>" + "".join(f"<li>{link(1 + (i + j) % 4)}</li>" for i in range(1 + j % 5)) + "</ul>", 1 + j % 5)],
+        "line": lambda j: [("<p>" + " ".join(link(1 + i % 3) for i in range(2 + j % 4)) + "</p>", 1)],
+        "div": lambda j: [(f"<div>{say(1 + j % 4)} {link(2 + j % 6)}</div>", 1)],
+    }
+    lengths = [1, 2, 3, 5, 8, 13, 20, 29, 40, 60, 90, 150]
+    for a, (open_, close) in enumerate([("<article>", "</article>"), ("<main>", "</main>"), ("<div class='post'>", "</div>"), ("", ""), ("<div>", "</div>")]):
+        for j, n in enumerate(lengths):
+            for k, (kind, make) in enumerate(lists.items()):
+                if a >= 3 and n < 29:
+                    continue
+                links = [(markup, count, a < 3) for markup, count in make(j + k)]
+                text = [(f"<p>{say(n)}</p>", 1, True)]
+                more = [(f"<p>{say(lengths[(j + 5) % 12] if a < 3 else 35 + n // 2)}</p>", 1, True)]
+                outside = [(f"<nav><ul><li>{link(1)}</li><li>{link(2)}</li></ul></nav>", 2, False)] if (j + k) % 2 else []
+                below = [(f"<footer>{say(3 + j)}</footer>", 1, False)] if (j + k) % 3 else []
+                for body in ([*text, *links], [*text, *more, *links], [(f"<h1>{say(1 + j % 7)}</h1>", 1, True), *text, *links]) + (([*text, *links, *more], [*links, *text]) if a < 3 else ()):
+                    out.append([*outside, (open_, 0, False), *body, (close, 0, False), *below])
+    return out
+
+
+def _last_lines(say) -> list[list[tuple[str, int, bool]]]:
+    """Labelled pages that end with a line of some words: behind a long paragraph the text's last, behind a short line that
+    is furniture (a name, then an address) furniture as well."""
+    out: list[list[tuple[str, int, bool]]] = []
+    for j in range(60):
+        n, text = 8 + j % 7, [(f"<p>{say(30 + 7 * j % 80)}</p>", 1, True) for _ in range(1 + j % 3)]
+        last = (f"<{('p', 'div')[j % 2]}>{say(n)}</{('p', 'div')[j % 2]}>", 1)
+        out.append([*text, (*last, True)])
+        out.append([*text, (f"<p>{say(2 + j % 4)}</p>", 1, False), (*last, False)])
+    return out
+
+
+def _notices(say) -> list[list[tuple[str, int, bool]]]:
+    """Labelled pages with notices that no name gives away, known by their phrases; in an article, and in long paragraphs
+    that use one now and then, the same phrases are text."""
+    out: list[list[tuple[str, int, bool]]] = []
+    cues = ["cookies", "© copyright", "all rights reserved", "privacy policy", "consent", "newsletter"]
+
+    def with_cues(n: int, share: float, j: int) -> str:
+        words = ["word"] * n
+        for i in range(max(1, round(n * share))):
+            words[(7 * i + j) % n] = cues[(i + j) % len(cues)]
+        return " ".join(words)
+
+    for j, n in enumerate([6, 9, 12, 16, 20, 25, 30, 33, 40, 50, 60, 75] * 4):
+        notice = (f"<{('p', 'div')[j % 2]}>{with_cues(n, 0.07 + 0.03 * (j % 5), j)}</{('p', 'div')[j % 2]}>", 1, False)
+        text = [(f"<p>{say(40 + 3 * j)}</p>", 1, True), (f"<p>{say(25 + 9 * j % 90)}</p>", 1, True)]
+        seldom = [(f"<p>{with_cues(60 + 2 * j, 0.02, j)}</p>", 1, True), (f"<p>{say(70)}</p>", 1, True)]
+        inside = [(f"<p>{with_cues(n, 0.07 + 0.03 * (j % 5), j)}</p>", 1, True)]
+        for around in (("<article>", "</article>"), ("<main>", "</main>")):
+            out.append([(around[0], 0, False), *text, *inside, (around[1], 0, False), notice])
+            out.append([notice, (around[0], 0, False), *inside, *text, (around[1], 0, False)])
+        out += [[*text, notice], [notice, *text], [*seldom, notice], [*text, *seldom], [notice, *seldom, notice]]
+    return out
+
+
 def _plain_pages(say) -> list[list[tuple[str, int, bool]]]:
     """Labelled pages on which neither tags nor names tell text from furniture: lengths, links and neighbours do. The
     furniture is short or full of links and stands together; a short paragraph has long ones around it."""
@@ -286,10 +365,12 @@ def main_text(page: str | None, tree=None) -> str:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars (code points): a row for each row of pages. A null page counts as empty; a page
-    without main text has empty text."""
+    without main text has empty text. Pages are read whole, however long; repeated rows give equal rows. An empty table
+    gives no rows; other columns are not looked at."""
+
+    tree = trained()  # once, on the driver: a few nested tuples
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = trained()
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 some = batch.slice(i, 256)
