@@ -177,6 +177,7 @@ def tracks(data: memoryview) -> list[Track]:
         return found.reshape(-1, columns) if columns > 1 else found
 
     for kind, box_at, at, end in walk(data):
+        box = data[:end]  # no field is read beyond its box
         if kind == b"trak":
             current = Track()
             out.append(current)
@@ -185,38 +186,38 @@ def tracks(data: memoryview) -> list[Track]:
         elif kind == b"traf":
             current = None
         elif kind == b"trex":
-            number, _, *values = struct.unpack_from(">5I", data, at + 4)
+            number, _, *values = struct.unpack_from(">5I", box, at + 4)
             defaults[number] = tuple(values)
         elif kind == b"tfhd":
-            flags, number = struct.unpack_from(">II", data, at)
+            flags, number = struct.unpack_from(">II", box, at)
             flags &= 0xFFFFFF
             current = next((t for t in out if t.number == number), None)
             if current is None:
                 raise ValueError("a fragment of no track")
             where, base = at + 8, moof if flags & 0x20000 else after
             if flags & 1:
-                (base,), where = struct.unpack_from(">Q", data, where), where + 8
+                (base,), where = struct.unpack_from(">Q", box, where), where + 8
             where += 4 * bool(flags & 2)
             found = list(defaults.get(number, (0, 0, 0)))
             for k, bit in enumerate((8, 16, 32)):
                 if flags & bit:
-                    (found[k],), where = struct.unpack_from(">I", data, where), where + 4
+                    (found[k],), where = struct.unpack_from(">I", box, where), where + 4
             own, after = tuple(found), base
         elif current is None:
             continue
         elif kind == b"trun":
-            flags, n = struct.unpack_from(">II", data, at)
+            flags, n = struct.unpack_from(">II", box, at)
             flags &= 0xFFFFFF
             where, begin, first = at + 8, after, None
             if flags & 1:
-                (shift,), where = struct.unpack_from(">i", data, where), where + 4
+                (shift,), where = struct.unpack_from(">i", box, where), where + 4
                 begin = base + shift
             if flags & 4:
-                (first,), where = struct.unpack_from(">I", data, where), where + 4
+                (first,), where = struct.unpack_from(">I", box, where), where + 4
             bits = [b for b in (0x100, 0x200, 0x400, 0x800) if flags & b]
             if where + 4 * n * len(bits) > end or not bits and n * max(1, own[1]) > len(data):
                 raise ValueError("a run of samples does not fit")
-            found = np.frombuffer(data, ">u4", n * len(bits), where).reshape(n, len(bits)).astype(np.int64)
+            found = np.frombuffer(box, ">u4", n * len(bits), where).reshape(n, len(bits)).astype(np.int64)
             of = {b: found[:, i] for i, b in enumerate(bits)}
             sizes = of.get(0x200, np.full(n, own[1], np.int64))
             marks = of.get(0x400, np.full(n, own[2], np.int64)).copy()
@@ -226,29 +227,29 @@ def tracks(data: memoryview) -> list[Track]:
             current.duration += int(of.get(0x100, np.full(n, own[0], np.int64)).sum())
             after = begin + int(sizes.sum())
         elif kind == b"tkhd":
-            (current.number,) = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))
+            (current.number,) = struct.unpack_from(">I", box, at + (20 if box[at] == 1 else 12))
         elif kind == b"mdhd":
-            current.timescale, current.duration = _media_header(data, at)
+            current.timescale, current.duration = _media_header(box, at)
         elif kind == b"hdlr":
-            current.handler = bytes(data[at + 8 : at + 12]).decode("latin-1")
+            current.handler = bytes(box[at + 8 : at + 12]).decode("latin-1")
         elif kind == b"elst":
-            long = data[at] == 1
+            long = box[at] == 1
             current.edits = [(a, b) for a, b, _ in rows(at, end, ">u8,>i8,>u4" if long else ">u4,>i4,>u4").tolist()]
         elif kind == b"stsd" and end - at >= 16:
-            current.codec = bytes(data[at + 12 : at + 16]).decode("latin-1")
+            current.codec = bytes(box[at + 12 : at + 16]).decode("latin-1")
             if current.handler == "vide" and end - at >= 44:
-                current.width, current.height = struct.unpack_from(">HH", data, at + 40)
+                current.width, current.height = struct.unpack_from(">HH", box, at + 40)
         elif kind == b"stsz":
-            current.sample_size, current.n_samples = struct.unpack_from(">II", data, at + 4)
+            current.sample_size, current.n_samples = struct.unpack_from(">II", box, at + 4)
             if not current.sample_size:
                 current.tables[kind] = rows(at, end, ">u4", head=12)
             elif current.sample_size * current.n_samples > len(data):
                 raise ValueError("samples lie beyond the file")
         elif kind == b"stz2":
-            width, current.n_samples = struct.unpack_from(">3xBI", data, at + 4)
+            width, current.n_samples = struct.unpack_from(">3xBI", box, at + 4)
             if width not in (4, 8, 16) or at + 12 + (current.n_samples * width + 7) // 8 > end:
                 raise ValueError("a table does not fit its box")
-            found = np.frombuffer(data, ">u2" if width == 16 else "u1", (current.n_samples * width + 7) // 8 // (2 if width == 16 else 1), at + 12)
+            found = np.frombuffer(box, ">u2" if width == 16 else "u1", (current.n_samples * width + 7) // 8 // (2 if width == 16 else 1), at + 12)
             current.tables[b"stsz"] = np.stack([found >> 4, found & 15], axis=1).ravel()[: current.n_samples] if width == 4 else found
         elif kind == b"stco":
             current.tables[b"stco"] = rows(at, end, ">u4")
@@ -274,7 +275,8 @@ def read_samples(data: memoryview, at: np.ndarray, sizes: np.ndarray) -> Iterato
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, media: each whole text as UTF-8, padded, in a container. Null counts as empty."""
+    """doc_id, n_bytes, media: each whole text as UTF-8, however long, padded, in a container. Null counts as empty;
+    repeated rows give equal rows, an empty table none; other columns are not looked at."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,6 +307,8 @@ def features(media: bytes | None) -> dict:
         every = []
         for t in found:
             at, size, key = t.samples()
+            if len(at) and (at.min() < 0 or (at + size).max() > len(data)):
+                raise ValueError("samples lie beyond the file")
             seconds = t.duration / t.timescale if t.timescale else None
             every.append((t, at, size, {"track": t.number, "handler": t.handler, "codec": t.codec, "n_frames": len(at), "duration_s": seconds, "keyframes": [{"offset": a, "size": b} for a, b in zip(at[key].tolist(), size[key].tolist(), strict=True)], "edits": [{"duration": a, "media_time": b} for a, b in t.edits]}))
         t, at, size, own = next((x for x in every if x[0].handler == "vide" and len(x[1])), every[0])
