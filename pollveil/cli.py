@@ -70,10 +70,10 @@ def anonymize(spark: SparkSession, source: str, target: str, config: Config, sum
 def statistics(release: R.Release) -> list[tuple[str, object]]:
     """(name, value) of what a release did as a whole."""
     s = release.stats
-    added = [s["ballots_borrowed_for_minimum"], s["ballots_added_for_contests"], s["ballots_added_for_balancing"]]
+    added = [s["ballots_borrowed_for_minimum"], s["ballots_added_for_contests"], s["ballots_added_for_balancing"], s.get("ballots_added_for_entropy", 0)]
     return [
         ("rows read", s["total_rows"]), ("styles before", s["original_styles"]), ("styles after", s["final_styles"]), ("minimum", s["min_ballots"]),
-        ("ballots of rare styles", s["rare_ballots_initial"]), ("added for the minimum", added[0]), ("added for contests", added[1]), ("added against unanimity", added[2]),
+        ("ballots of rare styles", s["rare_ballots_initial"]), ("added for the minimum", added[0]), ("added for contests", added[1]), ("added against unanimity", added[2]), ("added for the entropy rule", added[3]),
         ("ballots in the aggregate", s["rare_ballots_initial"] + sum(added)), ("aggregate rows", s["aggregated_rows"]),
     ]
 
@@ -142,6 +142,7 @@ def main(args: list[str] | None = None) -> int:
     a.add_argument("--summarize", "-s", action="store_true")
     a.add_argument("--parts", action="store_true", help="write a folder of parts by executors in place of one file")
     a.add_argument("--range-mb", type=int, help="read CSV by byte ranges of so many megabytes")
+    a.add_argument("--entropy", action="store_true", help="the aggregate holds votes for each choice with a good share")
     a.add_argument("--mode", choices=["spec", "compat"], default="spec")
     g = commands.add_parser("guess")
     g.add_argument("original", nargs="?")
@@ -156,7 +157,7 @@ def main(args: list[str] | None = None) -> int:
         spark.sparkContext.setCheckpointDir(own.checkpoint_dir)
     try:
         if own.command == "anonymize":
-            anonymize(spark, own.input, own.output, Config(own.min_ballots, own.stylecol, own.headerlen, own.mode), own.summarize, own.parts, own.range_mb * (1 << 20) if own.range_mb else None)
+            anonymize(spark, own.input, own.output, Config(own.min_ballots, own.stylecol, own.headerlen, own.mode, own.entropy), own.summarize, own.parts, own.range_mb * (1 << 20) if own.range_mb else None)
         else:
             print("\n".join(guess(spark, own.original, own.anonymized_cvr, own.min_ballots, election=own.election_name)))
     except Exception as e:  # whatever fails, also in Spark: its first line, and exit code 1

@@ -153,10 +153,9 @@ class Ranking:
     picked. So a bound stays true while picks change the counts, and only heads are fetched: of the profiles, until one
     scores more than the bound of the first that was not fetched, and of the classes of the profile that is chosen."""
 
-    def __init__(self, pool: DataFrame, layout: Layout, needs: dict[str, int], min_ballots: int, head: int):
+    def __init__(self, covering: DataFrame, layout: Layout, most: int, min_ballots: int, head: int):
+        """covering: the ballots that can be picked at all; most: how many picks there can be."""
         self.layout, self.head, self.min_ballots, self.jobs = layout, head, min_ballots, 0
-        most = sum(needs.values())
-        covering = pool.where((F.col("n") > min_ballots) & (F.size(C.contests_on(F.col("cells"), layout, list(needs))) > 0))
         # A class gives as many places as picks there can be at most; Spark keeps the first ones before it shuffles.
         first = covering.withColumn("k", F.row_number().over(Window.partitionBy("sig", "cells").orderBy("ord"))).where(F.col("k") <= most)
         self.classes = cut(first.groupBy("sig", "cells").agg(F.min("style_ord").alias("style_ord"), F.min("n").alias("n"), F.sort_array(F.collect_list("ord")).alias("ords")))
@@ -165,11 +164,15 @@ class Ranking:
 
     def restart(self, needed: list[str]) -> None:
         """Ranks by the contests that are needed now."""
-        self.columns = [i for c in needed for i in self.layout.contests[c]]
-        profile = F.transform(F.lit(self.columns), lambda i: C.strip(F.get("cells", i)))
+        columns = [i for c in needed for i in self.layout.contests[c]]
         votes = F.size(F.filter("profile", lambda c: (c != "") & (c != "0")))
         bound = COVERAGE_WEIGHT * F.size(C.contests_on(F.col("cells"), self.layout, needed)) + votes
-        self.ranked = self.classes.withColumns({"profile": profile, "first": F.get("ords", F.lit(0))}).withColumn("bound", bound).where(F.col("bound") >= COVERAGE_WEIGHT)
+        self.rank(columns, F.transform(F.lit(columns), lambda i: C.strip(F.get("cells", i))), bound, COVERAGE_WEIGHT)
+
+    def rank(self, columns: list[int], profile: Column, bound: Column, least: float) -> None:
+        """Ranks classes of a bound of `least` or more; bound may use the column profile."""
+        self.columns = columns
+        self.ranked = self.classes.withColumns({"profile": profile, "first": F.get("ords", F.lit(0))}).withColumn("bound", bound).where(F.col("bound") >= least)
         self.profiles: list[_Profile] = []  # by bound
         self.last: tuple[float, int, int] | None = None
         self.all_fetched = False
@@ -264,7 +267,8 @@ def _cover(pool: DataFrame, layout: Layout, needs: dict[str, int], counts: dict[
     picked: list[int] = []
     if not needs:
         return picked, 0
-    ranking, ranked_for = Ranking(pool, layout, needs, min_ballots, head), None
+    covering = pool.where((F.col("n") > min_ballots) & (F.size(C.contests_on(F.col("cells"), layout, list(needs))) > 0))
+    ranking, ranked_for = Ranking(covering, layout, sum(needs.values()), min_ballots, head), None
     while needs:
         if ranked_for != set(needs):
             ranked_for = set(needs)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pollveil.functions import cells as C
 from pollveil.operators import balance as B
+from pollveil.operators import entropy as E
 from pollveil.operators import styles as S
 from pollveil.operators import tally as T
 from pollveil.plans.model import AGGREGATE_PREFIX, HEADER, Config, CvrError, Layout
@@ -122,6 +123,11 @@ def anonymize(ballots: DataFrame, layout: Layout, config: Config | None = None)
     contrast = B.pick_contrast(B.contrast_scores(pool, layout, winners, k), winners, k, mode) if winners else []
     stats["ballots_added_for_balancing"] = len(contrast)
     add(contrast, "contrast")
+    if config.entropy:
+        lacking = {(r.contest, r.choice): r.missing for r in E.requirements(ballots, members, layout).where("missing > 0").collect()}  # as wide as a ballot
+        varied, unmet = E.pick(pool, layout, lacking, k)
+        stats |= {"ballots_added_for_entropy": len(varied), "entropy_unmet": dict(sorted(unmet.items()))}
+        add(varied, "entropy")
 
     aggregate = cut(aggregate_row(members))
     released = redact(without_aggregated(ballots, members))

@@ -20,12 +20,14 @@ class CvrError(ValueError):
 
 @dataclass(frozen=True)
 class Config:
-    """mode: spec does what the requirements ask for; compat keeps the historical behaviour, defects included."""
+    """mode: spec does what the requirements ask for; compat keeps the historical behaviour, defects included. entropy: the
+    aggregate also gets ballots for the entropy rule."""
 
     min_ballots: int = 10
     style_column: int = 6
     header_length: int = 8
     mode: str = "spec"
+    entropy: bool = False
 
     def __post_init__(self):
         if self.mode not in ("spec", "compat"):

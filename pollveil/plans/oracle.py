@@ -84,6 +84,34 @@ AGG_SHARES = """
 SELECT s.contest, s.choice, CASE WHEN t.total > 0 THEN CAST(s.total AS DOUBLE) / t.total ELSE 0 END AS prob, (SELECT greatest(max(x), 1) FROM (SELECT sum(total) AS x FROM sums GROUP BY contest)) AS ballot_count
 FROM sums s JOIN (SELECT contest, sum(total) AS total FROM sums GROUP BY contest) t USING (contest)"""
 
+#: Small cells, their donors, and what is hidden with them.
+REDACTION = """
+, grid AS (
+  SELECT c.contest, b.pattern AS style, c.choice, CAST(count_if(c.cell = '1') AS BIGINT) AS votes FROM cells c JOIN ballots b USING (ord) JOIN picks p ON p.ord = c.ord AND p.contest = c.contest WHERE p.on_it GROUP BY ALL
+), small AS (
+  SELECT g.contest, g.style, g.choice, g.votes, s.choice AS c2, s.votes AS n2, t.style AS r2, t.votes AS m2
+  FROM grid g LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY contest, style ORDER BY votes, choice) AS k FROM grid WHERE votes >= 10) s ON s.k = 1 AND s.contest = g.contest AND s.style = g.style
+  LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY contest, choice ORDER BY votes, style) AS k FROM grid WHERE votes >= 10) t ON t.k = 1 AND t.contest = g.contest AND t.choice = g.choice
+  WHERE g.votes BETWEEN 1 AND 9
+), wide AS (
+  SELECT m.*, CASE WHEN c2 IS NOT NULL AND r2 IS NOT NULL THEN least(n2, m2) + least(m.votes, coalesce(g.votes, 0)) ELSE coalesce(n2, m2) + m.votes END AS width
+  FROM small m LEFT JOIN grid g ON g.contest = m.contest AND g.style = m.r2 AND g.choice = m.c2
+), each AS (
+  SELECT contest, style, choice, 'primary' AS reason, width FROM wide WHERE c2 IS NOT NULL OR r2 IS NOT NULL
+  UNION ALL SELECT contest, style, c2, 'complementary', width FROM wide WHERE c2 IS NOT NULL
+  UNION ALL SELECT contest, r2, choice, 'complementary', width FROM wide WHERE r2 IS NOT NULL
+  UNION ALL SELECT contest, r2, c2, 'complementary', width FROM wide WHERE c2 IS NOT NULL AND r2 IS NOT NULL
+), hidden AS (SELECT contest, style, choice, max(reason) AS reason, max(width) AS width FROM each GROUP BY ALL
+), gone AS (SELECT DISTINCT contest FROM small WHERE c2 IS NULL AND r2 IS NULL
+), gone_styles AS (SELECT DISTINCT contest, unnest([style, r2]) AS style FROM small WHERE c2 IS NULL AND r2 IS NOT NULL
+), gone_choices AS (SELECT DISTINCT contest, unnest([choice, c2]) AS choice FROM small WHERE r2 IS NULL AND c2 IS NOT NULL
+), every AS (
+  SELECT 'cell' AS kind, g.contest, g.style, g.choice, g.votes, h.reason, h.width FROM grid g LEFT JOIN hidden h USING (contest, style, choice)
+  UNION ALL SELECT 'style', contest, style, NULL, CAST(sum(votes) AS BIGINT), CASE WHEN (contest, style) IN (SELECT contest, style FROM gone_styles) THEN 'complementary' END, NULL FROM grid GROUP BY contest, style
+  UNION ALL SELECT 'choice', contest, NULL, choice, CAST(sum(votes) AS BIGINT), CASE WHEN (contest, choice) IN (SELECT contest, choice FROM gone_choices) THEN 'complementary' END, NULL FROM grid GROUP BY contest, choice)
+SELECT kind, e.contest, style, choice, CASE WHEN g.contest IS NULL AND reason IS NULL THEN votes END AS votes, CASE WHEN g.contest IS NOT NULL THEN 'contest' ELSE reason END AS reason, CASE WHEN g.contest IS NULL THEN width END AS width
+FROM every e LEFT JOIN gone g ON g.contest = e.contest"""
+
 #: Contests that the folded queries have: line numbers from FOLD on are one. Every line is read; with so few contests the
 #: rare ballots are fewer than the minimum at 0.01, so that borrowing, needs and balancing all have something to do.
 FOLD = 5
@@ -144,6 +172,8 @@ SELECTS: dict[str, tuple[int | None, int, str]] = {
     "column_vectors": (None, 10, "SELECT vector, count(*) AS n FROM (SELECT x, string_agg(substr(sig, x, 1), '' ORDER BY sig) AS vector FROM groups, range(1, 200) t(x) WHERE x <= length(sig) GROUP BY x) GROUP BY vector"),
     "column_cooccurrence": (None, 10, "SELECT x - 1 AS i, y - 1 AS j, concat(substr(sig, x, 1), substr(sig, y, 1)) AS pair, count(*) AS n FROM groups, range(1, 200) a(x), range(1, 200) b(y) WHERE x <= length(sig) AND y <= length(sig) GROUP BY 1, 2, 3"),
     "column_groups": (None, 10, "SELECT min(x) - 1 AS first_col, count(*) AS n, length(replace(vector, '0', '')) AS ones, length(vector) AS styles FROM (SELECT x, string_agg(substr(sig, x, 1), '' ORDER BY sig) AS vector FROM groups, range(1, 200) t(x) WHERE x <= length(sig) GROUP BY x) GROUP BY vector"),
+    "entropy_requirements": (FOLD, 10, "SELECT contest, choice, t.votes AS total, least(3, t.votes) AS required, coalesce(n, 0) AS held, greatest(least(3, t.votes) - coalesce(n, 0), 0) AS missing FROM tallied t JOIN (SELECT contest, sum(votes) AS every FROM tallied GROUP BY contest) USING (contest) LEFT JOIN counts USING (contest, choice) WHERE t.votes >= 0.2 * every AND contest IN (SELECT contest FROM presence)"),
+    "contest_redaction": (None, 10, REDACTION),
     "undervotes_report": (None, 10, "SELECT contest, ballots AS eligible, with_vote, greatest(ballots - with_vote, 0) AS undervotes FROM presence"),
     "exclude_borrowed_pool": (FOLD, 10, "SELECT sig, count(*) AS n FROM pool WHERE n >= 10 GROUP BY sig"),
 }
@@ -183,6 +213,23 @@ COVERAGE = _LISTS + """
   WHERE place = 1)
 SELECT pick, ord FROM steps WHERE pick >= 0"""
 
+#: The entropy rule's loop: a ballot that votes for most of what is lacking, a pick a step.
+ENTROPY = _LISTS + """
+, lacking AS (
+  SELECT list(coalesce(r.missing, 0) ORDER BY c.col_idx) AS missing FROM cols c LEFT JOIN (
+    SELECT contest, choice, greatest(least(3, t.votes) - coalesce(n, 0), 0) AS missing FROM tallied t JOIN (SELECT contest, sum(votes) AS every FROM tallied GROUP BY contest) USING (contest) LEFT JOIN counts USING (contest, choice)
+    WHERE t.votes >= 0.2 * every AND contest IN (SELECT contest FROM presence)) r USING (contest, choice)
+), steps AS (
+  SELECT CAST(-1 AS INTEGER) AS pick, CAST(NULL AS BIGINT) AS ord, missing, CAST([] AS BIGINT[]) AS ords, CAST([] AS VARCHAR[]) AS sigs FROM lacking
+  UNION ALL
+  SELECT pick + 1, ord, [greatest(0, missing[i] - v[i]) for i in range(1, len(missing) + 1)], list_append(ords, ord), list_append(sigs, sig) FROM (
+    SELECT *, row_number() OVER (ORDER BY score DESC, style_ord, ord) AS place FROM (
+      SELECT s.pick, p.ord, p.sig, p.style_ord, s.missing, s.ords, s.sigs, p.v, list_sum([CASE WHEN s.missing[i] > 0 THEN p.v[i] ELSE 0 END for i in range(1, len(s.missing) + 1)]) AS score
+      FROM steps s, profiles p WHERE NOT list_contains(s.ords, p.ord) AND p.n - len([x for x in s.sigs if x = p.sig]) > 10)
+    WHERE score > 0)
+  WHERE place = 1)
+SELECT pick, ord FROM steps WHERE pick >= 0"""
+
 #: A pick a step: the next ballot of the ranking that has a contest with fewer than three, of a style that can still give.
 CONTRAST = f"""
 , ranked AS (
@@ -210,5 +257,6 @@ def oracle_sql() -> dict[str, str]:
         "synthetic_case": SYNTHETIC,
         "coverage_loop": prelude(FOLD, 10).rstrip().removesuffix("\n") + COVERAGE,
         "contrast_loop": prelude(None, 10) + CONTRAST,
+        "entropy_loop": prelude(FOLD, 10) + ENTROPY,
         "precinct_by_first_vote": FIRST_PRECINCT,
     }

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from pollveil.functions import cells as C
 from pollveil.operators import balance as B
+from pollveil.operators import entropy as E
 from pollveil.operators import explore as X
 from pollveil.operators import inference as I
 from pollveil.operators import release as R
 from pollveil.operators import styles as S
+from pollveil.operators import suppress as U
 from pollveil.operators import tally as T
 from pollveil.plans.model import Config
 from pollveil.plans.oracle import FOLD, SELECTS, WHOLE, WHOLE_SUFFIX
@@ -201,6 +203,8 @@ APPLY: dict[str, Callable[[Case], DataFrame]] = {
     "column_vectors": lambda c: X.column_vectors(S.style_groups(S.with_style(c.unordered, c.layout))),
     "column_cooccurrence": lambda c: X.column_cooccurrence(S.style_groups(S.with_style(c.unordered, c.layout))),
     "column_groups": lambda c: X.column_groups(S.style_groups(S.with_style(c.unordered, c.layout))).withColumn("first_col", F.col("first_col").cast("long")),
+    "entropy_requirements": lambda c: E.requirements(c.ballots, c.members, c.layout),
+    "contest_redaction": lambda c: U.suppress(U.style_table(c.unordered_styled, c.layout), c.k),
     "undervotes_report": lambda c: T.undervotes(c.members, c.layout),
     "exclude_borrowed_pool": lambda c: c.pool.groupBy("sig").agg(F.count("*").alias("n")),
 }
@@ -220,6 +224,13 @@ def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, p) for i, p in enumerate(picked)], "pick int, ord long")
 
 
+def _entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Case(spark, sf_dir, FOLD, 10)
+    lacking = {(r.contest, r.choice): r.missing for r in E.requirements(c.ballots, c.members, c.layout).collect()}
+    picked, _ = E.pick(c.pool, c.layout, lacking, c.k)
+    return spark.createDataFrame([(i, p) for i, p in enumerate(picked)], "pick int, ord long")
+
+
 def _contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Case(spark, sf_dir, None, 10)
     winners = _first_winners(c)
@@ -247,4 +258,4 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: _query(name) for name in SELECTS | WHOLE}
     found["synthetic_case"] = lambda spark, sf_dir: synthetic_case(spark).select("ord", "cvr_number", "style", _text())
-    return found | {"anonymize_spec": _release("spec"), "anonymize_compat": _release("compat"), "coverage_loop": _coverage, "contrast_loop": _contrast, "precinct_by_first_vote": _first_precinct}
+    return found | {"anonymize_spec": _release("spec"), "anonymize_compat": _release("compat"), "coverage_loop": _coverage, "contrast_loop": _contrast, "entropy_loop": _entropy, "precinct_by_first_vote": _first_precinct}

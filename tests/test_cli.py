@@ -39,7 +39,7 @@ def test_reports_of_the_test_election(spark, source, tmp_path, capsys):
     assert got["Votes"] == [["A", "A0", "7"], ["A", "A1", "4"], ["B", "B0", "11"], ["B", "B1", "9"]]
     assert ["2S3", "11", "10", "A", "A0", "0.6000"] in got["Style statistics"] and len(got["Style statistics"]) == 8
     (released,) = (rows for title, rows in got.items() if title.startswith("Released to"))
-    assert dict(released) == {"rows read": "21", "styles before": "3", "styles after": "2", "minimum": "10", "ballots of rare styles": "1", "added for the minimum": "10", "added for contests": "0", "added against unanimity": "0", "ballots in the aggregate": "11", "aggregate rows": "1"}
+    assert dict(released) == {"rows read": "21", "styles before": "3", "styles after": "2", "minimum": "10", "ballots of rare styles": "1", "added for the minimum": "10", "added for contests": "0", "added against unanimity": "0", "added for the entropy rule": "0", "ballots in the aggregate": "11", "aggregate rows": "1"}
     assert got["Rare styles"] == [["1R2", "1", "1R1:1"]]
     assert got["Contests of the aggregate"] == [["A", "11", "11", "11", "11", "0", "", "A0=1", "A0=7 A1=4"], ["B", "10", "10", "10", "10", "0", "", "", "B0=5 B1=5"]]
 
