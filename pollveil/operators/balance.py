@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from pollveil.functions import cells as C
@@ -32,6 +32,12 @@ CONTRAST = 3
 RANGES, LEAST_RANGE = 1000, 1000
 
 
+def largest() -> Column:
+    """Of styles with is_rare (styles.rare_common): the common one with most ballots, of equals the first seen; null if
+    there is none. An aggregate."""
+    return F.max(F.when(~F.col("is_rare"), F.struct(F.col("n"), (-F.col("style_ord")).alias("down"), F.col("sig"))))
+
+
 def largest_common_style(groups: DataFrame, min_ballots: int) -> DataFrame:
     """The common style with most ballots, of equals the first seen: one row or none."""
     return groups.where(F.col("n") >= min_ballots).orderBy(F.desc("n"), "style_ord").limit(1)
@@ -40,16 +46,20 @@ def largest_common_style(groups: DataFrame, min_ballots: int) -> DataFrame:
 def borrow_for_minimum(styled: DataFrame, min_ballots: int) -> DataFrame:
     """Ballots of the largest common style that bring the rare ones up to the minimum: the first ones that are missing,
     or the whole style where fewer than the minimum would be left. No rows if nothing is rare or nothing is missing."""
-    groups = S.style_groups(styled)
-    rare = groups.where(F.col("n") < min_ballots).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rare")).first().rare
+    groups = S.rare_common(styled, min_ballots)
+    found = groups.agg(F.coalesce(F.sum(F.when(F.col("is_rare"), F.col("n"))), F.lit(0)).alias("rare"), largest().alias("largest")).first()
+    return borrow(styled, min_ballots, found.rare, found.largest)
+
+
+def borrow(styled: DataFrame, min_ballots: int, rare: int, donor: Row | None) -> DataFrame:
+    """borrow_for_minimum where the number of rare ballots and `largest` are known."""
     if not 0 < rare < min_ballots:
         return styled.where(F.lit(False))
-    largest = largest_common_style(groups, min_ballots).first()
-    if largest is None:
+    if donor is None:
         raise CvrError(f"{rare} rare ballots, fewer than {min_ballots}, and no common style to borrow from")
     needed = min_ballots - rare
-    left = largest.n - needed
-    own = styled.where(F.col("sig") == largest.sig)
+    left = donor.n - needed
+    own = styled.where(F.col("sig") == donor.sig)
     return own if 0 < left < min_ballots else own.orderBy("ord").limit(needed)
 
 

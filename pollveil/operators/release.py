@@ -62,18 +62,19 @@ class Release:
         return self.stats | {"style_counts": {r["style"]: r["n"] for r in self.styles.orderBy("style").collect()}, "rare_style_counts": rare}
 
 
-def check_input(ballots: DataFrame, config: Config) -> None:
-    """spec only: cells that tallies cannot count, and CVR numbers that name more than one ballot, are refused before
-    anything is written."""
+def check_input(ballots: DataFrame, config: Config) -> int:
+    """How many rows there are. spec only: cells that tallies cannot count, and CVR numbers that name more than one ballot,
+    are refused before anything is written. One job."""
     if config.mode != "spec":
-        return
-    odd = ballots.where(F.exists("cells", lambda c: ~C.strip(c).isin("", "0", "1"))).select("cvr_number").limit(1).collect()
-    if odd:
-        raise CvrError(f"ballot {odd[0].cvr_number}: a vote cell is neither blank nor 0 nor 1")
-    number = C.strip(F.col("cvr_number"))
-    twice = ballots.groupBy(number.alias("number")).count().where("count > 1 or number = ''").limit(1).collect()
-    if twice:
-        raise CvrError(f"CVR number {twice[0].number!r} is blank or not unique")
+        return ballots.count()
+    odd = F.when(F.exists("cells", lambda c: ~C.strip(c).isin("", "0", "1")), F.coalesce("cvr_number", F.lit("")))
+    by_number = ballots.groupBy(C.strip(F.col("cvr_number")).alias("number")).agg(F.count("*").alias("n"), F.min(odd).alias("odd"))
+    found = by_number.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.min("odd").alias("odd"), F.min(F.when((F.col("n") > 1) | (F.col("number") == ""), F.col("number"))).alias("twice")).first()
+    if found.odd is not None:
+        raise CvrError(f"ballot {found.odd}: a vote cell is neither blank nor 0 nor 1")
+    if found.twice is not None:
+        raise CvrError(f"CVR number {found.twice!r} is blank or not unique")
+    return found.rows
 
 
 def anonymize(ballots: DataFrame, layout: Layout, config: Config | None = None) -> Release:
@@ -83,28 +84,30 @@ def anonymize(ballots: DataFrame, layout: Layout, config: Config | None = None)
     stats has driver-side numbers alone; final_styles counts the common styles left and the aggregate."""
     config = config or Config()
     k, mode = config.min_ballots, config.mode
-    check_input(ballots, config)
+    total_rows = check_input(ballots, config)
     styled = cut(S.with_style(ballots, layout))
     groups = S.rare_common(styled, k)
-    sizes = groups.agg(F.count("*").alias("styles"), F.coalesce(F.sum(F.when(F.col("is_rare"), F.col("n"))), F.lit(0)).alias("rare"), F.count_if(~F.col("is_rare")).alias("common")).first()
-    stats = {"total_rows": ballots.count(), "original_styles": sizes.styles, "rare_ballots_initial": sizes.rare, "min_ballots": k, "ballots_borrowed_for_minimum": 0, "contests_needing_ballots": {}, "ballots_added_for_contests": 0, "contests_needing_balancing": [], "ballots_added_for_balancing": 0, "aggregated_rows": 0, "final_styles": sizes.common}
+    sizes = groups.agg(F.count("*").alias("styles"), F.coalesce(F.sum(F.when(F.col("is_rare"), F.col("n"))), F.lit(0)).alias("rare"), F.count_if(~F.col("is_rare")).alias("common"), B.largest().alias("largest")).first()
+    stats = {"total_rows": total_rows, "original_styles": sizes.styles, "rare_ballots_initial": sizes.rare, "min_ballots": k, "ballots_borrowed_for_minimum": 0, "contests_needing_ballots": {}, "ballots_added_for_contests": 0, "contests_needing_balancing": [], "ballots_added_for_balancing": 0, "aggregated_rows": 0, "final_styles": sizes.common}
     spark = ballots.sparkSession
     if not sizes.rare:
         return Release(redact(ballots), None, styled.select("ord", F.lit("released").alias("bucket")), stats | {"rare_styles": 0}, S.rare_counts(styled, k), S.cvr_style_counts(ballots))
 
     rare = S.with_rarity(styled, k).where("is_rare").select(styled.columns)
-    borrowed = B.borrow_for_minimum(styled, k)
+    borrowed = B.borrow(styled, k, sizes.rare, sizes.largest)
     members = cut(rare.select("*", F.lit("rare").alias("bucket")).unionByName(borrowed.select("*", F.lit("borrowed").alias("bucket"))))
     stats["rare_styles"] = sizes.rare  # ballots, as the historical report has it
     stats["totals_after_rare_styles"] = _nested(T.group_tally(rare, layout, mode))
     stats["ballots_borrowed_for_minimum"] = members.where("bucket = 'borrowed'").count()
-    pool = cut(B.pool_after(styled, members.where("bucket = 'borrowed'"), k))
+    pool = B.pool_after(styled, members.where("bucket = 'borrowed'"), k)  # stored once something is picked from it
     present = T.contest_presence(members, layout).collect()  # a row for each contest at most
     stats["contest_ballot_counts_after_rare"] = {r.contest: r.ballots for r in present}
     stats["contest_ballot_vote_counts_after_rare"] = {r.contest: r.with_vote for r in present}
     stats["contest_ballot_counts"] = stats["contest_ballot_counts_after_rare"]
     needs = {r.contest: k - r.ballots for r in present if r.ballots < k}
     stats["contests_needing_ballots"] = dict(sorted(needs.items()))
+    if needs:
+        pool = cut(pool)
     covering = B.cover_contests(pool, layout, needs, B.as_counts(T.choice_counts(members, layout)), k)
     stats["ballots_added_for_contests"] = len(covering)
 
@@ -120,6 +123,8 @@ def anonymize(ballots: DataFrame, layout: Layout, config: Config | None = None)
     flagged = {r.contest: r.winner for r in T.near_unanimous(T.group_tally(members, layout, mode)).collect()}
     winners = {c: flagged[c] for c in layout.contests if c in flagged}
     stats["contests_needing_balancing"] = list(winners.items())
+    if winners and not needs:
+        pool = cut(pool)
     contrast = B.pick_contrast(B.contrast_scores(pool, layout, winners, k), winners, k, mode) if winners else []
     stats["ballots_added_for_balancing"] = len(contrast)
     add(contrast, "contrast")
@@ -136,7 +141,8 @@ def anonymize(ballots: DataFrame, layout: Layout, config: Config | None = None)
     stats["final_contest_ballot_counts"] = {r.contest: r.ballots for r in present}
     stats["final_contest_vote_counts"] = {r.contest: r.with_vote for r in present}
     stats["final_aggregate_totals"] = _nested(T.tally(aggregate, layout))
-    stats["final_styles"] = pool.select("sig").distinct().count() + 1
+    unchanged = not (stats["ballots_borrowed_for_minimum"] or covering or contrast or stats.get("ballots_added_for_entropy"))
+    stats["final_styles"] = (sizes.common if unchanged else pool.select("sig").distinct().count()) + 1
     wrong = T.verify(ballots, released.unionByName(aggregate), layout).where("difference <> 0").limit(5).collect()
     if wrong:
         raise CvrError(f"tallies differ: {[tuple(r) for r in wrong]}")
