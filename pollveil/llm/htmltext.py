@@ -46,7 +46,9 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|d
 #: Inline elements whose hidden text is left out.
 INLINE = set("a abbr b cite code em font i mark small span strong sub sup time u".split())
 #: Phrases of notices about rights, cookies and accounts, in the languages of the pages: a weak sign, by their share of words.
-_CUES = re.compile(r"©|\bcopyright\b|\ball rights reserved\b|\bcookies?\b|\bprivacy policy\b|\bterms of (?:use|service)\b|\bnewsletter\b|\bsubscribe\b|\b(?:sign|log) in\b|\bconsent\b|\balle rechte vorbehalten\b|\bdatenschutz\w*|\bimpressum\b|\beinwilligung\b|\btodos los derechos reservados\b|\bpolítica de privacidad\b|\baviso legal\b|\btous droits réservés\b|\bpolitique de confidentialité\b|\bmentions légales\b", re.I)
+_CUES = re.compile(r"©|\bcopyright\b|\ball rights reserved\b|\bcookies?\b|\bprivacy policy\b|\bterms of (?:use|service)\b|\bnewsletter\b|\bsubscribe\b|\b(?:sign|log) in\b|\bconsent\b|\balle rechte vorbehalten\b|\bdatenschutz\w*|\bimpressum\b|\beinwilligung\b|\btodos los derechos reservados\b|\bpolítica de privacidad\b|\baviso legal\b|\btous droits réservés\b|\bpolitique de confidentialité\b|\bmentions légales\b")
+#: Every cue holds one of these; a block without any of them needs no closer look.
+_STEMS = ("©", "copyright", "rights reserved", "cookie", "privac", "terms of", "newsletter", "subscribe", "sign in", "log in", "consent", "vorbehalten", "datenschutz", "impressum", "einwilligung", "derechos reservados", "aviso legal", "droits réservés", "confidentialité", "mentions légales")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 FEATURES = ("words", "link_density", "words_before", "density_before", "words_after", "density_after", "in_article", "in_furniture", "named_bad", "heading", "item", "cues", "article_elsewhere")
 
@@ -82,6 +84,11 @@ def _names(attributes: str, tag: str, in_article: bool) -> tuple[bool, bool]:
     return good and not bad, bad
 
 
+def cues(text: str) -> int:
+    lower = text.lower()
+    return len(_CUES.findall(lower)) if any(s in lower for s in _STEMS) else 0
+
+
 def blocks(page: str | None) -> list[Block]:
     """The text blocks of a page, in order. Blocks without text are left out."""
     page = page or ""
@@ -100,7 +107,7 @@ def blocks(page: str | None) -> list[Block]:
         if text:
             own = " ".join("".join(text).split())
             if own:
-                out.append(Block(own, own.count(" ") + 1, len("".join(linked).split()), *state, tag_of in HEADINGS, tag_of in ("li", "option", "dt", "dd"), len(_CUES.findall(own))))
+                out.append(Block(own, own.count(" ") + 1, len("".join(linked).split()), *state, tag_of in HEADINGS, tag_of in ("li", "option", "dt", "dd"), cues(own)))
             text, linked = [], []
 
     def add(raw: str) -> None:
