@@ -223,8 +223,9 @@ def group_by_fingerprint(marked: DataFrame, id_col: str = "doc_id", radius: int
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """A row for each row of docs: its id, the fingerprint (16 hex digits), the group's smallest id.
 
-    Null, empty and blank texts have fingerprint 0 and link like any other. Repeated ids keep their rows. A null id
-    counts only where all of the group are null. An empty table gives no rows."""
+    Null, empty and blank texts have fingerprint 0 and link like any other; texts count as a whole, however long. Repeated
+    ids keep their rows. A null id counts only where all of the group are null. An empty table gives no rows; other
+    columns are not looked at."""
     marked = cut(with_fingerprint(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))).drop("text"))
     groups = group_by_fingerprint(marked, radius=radius)
     hex_fp = F.lower(F.lpad(F.hex(marked.fp), 16, "0")).alias("fingerprint")

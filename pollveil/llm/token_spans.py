@@ -58,7 +58,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", fields: tuple[str, ...
     """doc_id, field, section, start_char, end_char (in the field), n_tokens, doc_tokens: a row for each section.
 
     n_tokens of a document add up to doc_tokens. The separator between two fields belongs to the last section of the
-    earlier one. A null field counts as empty and has one empty section. Repeated rows are counted each."""
+    earlier one. A null field counts as empty and has one empty section. Texts are encoded whole, however long. Repeated
+    rows are counted each. An empty table gives no rows; other columns are not looked at."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     path = path or default_path()
