@@ -12,7 +12,7 @@ from tests.test_oracles import SF
 
 def test_folded_queries_read_every_line(spark):
     folded = {n for n, (fold, _, _) in oracle.SELECTS.items() if fold is not None}
-    assert len(folded) == 14 and {n + "_all" for n in folded} <= set(queries.queries())
+    assert len(folded) == 15 and {n + "_all" for n in folded} <= set(queries.queries())
     assert not any("WHERE l.l_linenumber" in q for q in oracle.oracle_sql().values())
     n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     for fold in (None, oracle.FOLD):
