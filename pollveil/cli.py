@@ -98,9 +98,9 @@ def report(release: R.Release, target: str) -> None:
     _table("Contests of the aggregate", ("contest", "rare_ballots", "rare_voted", "ballots", "voted", "lacking", "nearly_unanimous_for", "rare_votes", "votes"), contest_table(release))
 
 
-def guess(spark: SparkSession, source: str | None, anonymized: str | None, min_ballots: int, folder: str = ".", election: str = "Test Election 2024") -> list[str]:
+def guess(spark: SparkSession, source: str | None, anonymized: str | None, min_ballots: int, folder: str = ".", election: str = "Test Election 2024", parts: bool = False) -> list[str]:
     """Three sheets: overall, by the original's styles, through the anonymized file. Without a source the test election
-    is written first."""
+    is written first. parts: each sheet is a folder that executors write, in place of one local file."""
     if source is None:
         source = os.path.join(folder, "test_case_cvr.csv")
         cvrfile.write_csv(synthetic_case(spark), cvrfile.preamble_of(LAYOUT, election), source)
@@ -120,7 +120,7 @@ def guess(spark: SparkSession, source: str | None, anonymized: str | None, min_b
         sheets.append(sheets[0])
     paths = [os.path.join(folder, n) for n in SHEETS]
     for sheet, path in zip(sheets, paths, strict=True):
-        cvrfile.write_sheet(I.wide_sheet(sheet, file.layout), path)
+        (sink.write_sheet_parts if parts else cvrfile.write_sheet)(I.wide_sheet(sheet, file.layout), path)
     return paths
 
 
@@ -149,6 +149,7 @@ def main(args: list[str] | None = None) -> int:
     g.add_argument("--anonymized-cvr", "-a")
     g.add_argument("--election-name", "-n", default="Test Election 2024")
     g.add_argument("--min-ballots", "-m", type=int, default=10)
+    g.add_argument("--parts", action="store_true", help="write each sheet as a folder of parts by executors in place of one file")
     for command in (a, g):
         command.add_argument("--checkpoint-dir", help="a folder that all executors share; needed on a cluster")
     own = parser.parse_args(args)
@@ -159,7 +160,7 @@ def main(args: list[str] | None = None) -> int:
         if own.command == "anonymize":
             anonymize(spark, own.input, own.output, Config(own.min_ballots, own.stylecol, own.headerlen, own.mode, own.entropy), own.summarize, own.parts, own.range_mb * (1 << 20) if own.range_mb else None)
         else:
-            print("\n".join(guess(spark, own.original, own.anonymized_cvr, own.min_ballots, election=own.election_name)))
+            print("\n".join(guess(spark, own.original, own.anonymized_cvr, own.min_ballots, election=own.election_name, parts=own.parts)))
     except Exception as e:  # whatever fails, also in Spark: its first line, and exit code 1
         print(f"Error: {first_line(e)}", file=sys.stderr)
         return 1

@@ -211,12 +211,23 @@ def write_csv(rows: DataFrame, preamble: list[list[str]], path: str, terminator:
     os.replace(staged, path)
 
 
+def in_voter_order(sheet: DataFrame) -> DataFrame:
+    return sheet.orderBy(F.substring("Voter", 2, 20).cast("long"))
+
+
+def sheet_lines(sheet: DataFrame) -> DataFrame:
+    """A probability sheet as CSV lines in the voters' order."""
+    ordered = in_voter_order(sheet)
+    names = [f"c{i}" for i in range(len(sheet.columns))]  # choices of two contests may be named alike
+    return ordered.toDF(*names).select(F.concat_ws(",", *(_quoted(F.coalesce(F.col(n), F.lit(""))) for n in names)).alias("value"))
+
+
 def write_sheet(sheet: DataFrame, path: str) -> None:
-    """A probability sheet in the voters' order as one local file."""
-    ordered = sheet.orderBy(F.substring("Voter", 2, 20).cast("long"))
+    """A probability sheet in the voters' order as one local file. Those too large for one are written by
+    `sink.write_sheet_parts`."""
     with open(f"{path}.part", "w", encoding="utf-8", newline="") as out:
         writer = csv.writer(out, lineterminator="\n")
         writer.writerow(sheet.columns)
-        for r in ordered.toLocalIterator():
+        for r in in_voter_order(sheet).toLocalIterator():
             writer.writerow(list(r))
     os.replace(f"{path}.part", path)

@@ -20,7 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from pyspark.sql.types import StructType
 
 from pollveil.plans.model import CvrError
-from pollveil.sources.cvrfile import as_lines
+from pollveil.sources.cvrfile import as_lines, sheet_lines
 from pollveil.sources.files import locate
 
 NAME = "cvr_release"
@@ -97,11 +97,20 @@ def preamble_text(preamble: list[list[str]], terminator: str) -> str:
     return out.getvalue()
 
 
-def write_release(rows: DataFrame, preamble: list[list[str]], path: str, terminator: str = "\n") -> None:
-    """rows (in their order) as a folder of parts behind the preamble. A target that is there already is refused."""
+def write_lines(lines: DataFrame, head: str, path: str, terminator: str = "\n") -> None:
+    """lines (one column, in their order) as a folder of parts behind head. A target that is there already is refused."""
     store, at = locate(path)
     if store.get_file_info(at).type.name != "NotFound":
         raise CvrError(f"{path} is there already")
-    spark = rows.sparkSession
-    spark.dataSource.register(ReleaseSink)
-    as_lines(rows).write.format(NAME).mode("append").option("path", path).option("preamble", preamble_text(preamble, terminator)).option("terminator", terminator).save()
+    lines.sparkSession.dataSource.register(ReleaseSink)
+    lines.write.format(NAME).mode("append").option("path", path).option("preamble", head).option("terminator", terminator).save()
+
+
+def write_release(rows: DataFrame, preamble: list[list[str]], path: str, terminator: str = "\n") -> None:
+    """rows (in their order) as a folder of parts behind the preamble."""
+    write_lines(as_lines(rows), preamble_text(preamble, terminator), path, terminator)
+
+
+def write_sheet_parts(sheet: DataFrame, path: str) -> None:
+    """A probability sheet in the voters' order as a folder of parts behind its header."""
+    write_lines(sheet_lines(sheet), preamble_text([sheet.columns], "\n"), path)

@@ -166,3 +166,16 @@ def test_the_command_writes_parts(spark, tmp_path):
     cli.anonymize(spark, source, out, Config(), parts=True, range_bytes=200)
     rows = [r for p in sorted(glob.glob(f"{out}/part-*")) for r in read_rows(p)]
     assert rows == read_rows(str(tmp_path / "one.csv"))
+
+
+def test_sheets_of_several_parts_are_the_single_files(spark, tmp_path, many_partitions):
+    source, one, many = str(tmp_path / "in.csv"), tmp_path / "one", tmp_path / "many"
+    cvrfile.write_csv(synthetic_case(spark).withColumn("style", F.concat("style", F.lit(', "x"'))), cvrfile.preamble_of(LAYOUT), source)
+    one.mkdir()
+    many.mkdir()
+    cli.guess(spark, source, None, 5, folder=str(one))
+    paths = cli.guess(spark, source, None, 5, folder=str(many), parts=True)
+    for path in paths:
+        parts = sorted(glob.glob(f"{path}/part-*"))
+        assert len(parts) > 3
+        assert b"".join(open(p, "rb").read() for p in parts) == open(one / os.path.basename(path), "rb").read()
