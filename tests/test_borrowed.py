@@ -36,3 +36,7 @@ def equals_sql(spark, tables, name):
 
 def test_aggregate_votes(spark, tables):
     equals_sql(spark, tables, "aggregate_votes")
+
+
+def test_aggregate_row_header(spark, tables):
+    equals_sql(spark, tables, "aggregate_row_header")
