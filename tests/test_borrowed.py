@@ -40,3 +40,8 @@ def test_aggregate_votes(spark, tables):
 
 def test_aggregate_row_header(spark, tables):
     equals_sql(spark, tables, "aggregate_row_header")
+
+
+@pytest.mark.parametrize("name", ["aggregate_style_probabilities", "probability_sheet"])
+def test_aggregate_style_probabilities(spark, tables, name):
+    equals_sql(spark, tables, name)
