@@ -58,7 +58,7 @@ def test_aggregate_style_probabilities(spark, tables, name):
     equals_sql(spark, tables, name)
 
 
-@pytest.mark.parametrize("name", ["tally_temp_semantics_all", "contest_needs_all"])
+@pytest.mark.parametrize("name", ["tally_temp_semantics_all", "contest_needs_all", "near_unanimous_spec_all"])
 def test_whole_queries_keep_seven_contests_and_the_minimum(spark, seven, name):
     assert oracle.WHOLE[name][:2] == (None, 10)
     assert {r[0] for r in equals_sql(spark, seven, name)} >= {"C6", "C7"}
