@@ -24,3 +24,10 @@ def test_style_texts_follow_their_probabilities(spark):
     assert len({r.text for r in rows}) > 10
     for r in rows:
         assert r.text == ("" if not r.present else "0.0000" if r.prob == 0 else "1.000" if r.prob >= 1 else f"{r.prob:.4f}"[:6])
+
+
+def test_probability_sheet_counts_each_kind_of_shares_once(spark):
+    """Ballots are exploded for the sheet alone: the counts behind the shares are stored, not made anew by each use."""
+    assert plan(queries.queries()["probability_sheet"](spark, SF)).count("Generate explode") == 1
+    case = queries.Case(spark, SF, None, 10)
+    assert "Generate" not in plan(I.overall_probabilities(case.unordered, case.layout))
