@@ -6,8 +6,9 @@ model; other words share TAIL_CLASSES symbols by the hash of their last bytes, a
 smoothed share of the class's tokens: P(word | state) = P(class | state) (c + 0.5) / (class total).
 
 Baum-Welch: each partition runs the scaled forward and backward recursions over its documents, many at a time, and
-returns expected counts; Spark adds them up by blocks of the parameters, and the driver divides. A few rounds over about
-WARM_DOCUMENTS documents, drawn by a hash, start the parameters; ROUNDS rounds then go over all training documents.
+returns expected counts; Spark adds them up by blocks of the parameters, and the driver divides. The parameters start from
+the neighbours of every symbol, counted over all training documents: the driver fits them to this table, whose size is fixed,
+by START_ROUNDS rounds of EM. ROUNDS rounds then go over all training documents.
 Scores are exact sequence likelihoods by the scaled forward recursion.
 
 Counts of the KNOWN most frequent words go to every task; counts of rarer words reach documents by a join."""
@@ -26,12 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pollveil.llm.common import cut, fold, stash, table
+from pollveil.llm.common import fold, stash, table
 
 STATES, HEAD, TAIL_CLASSES, SUFFIX = 8, 16_384, 256, 3
 #: Words whose counts each task has: at most so many, some 20 MB in a task.
 KNOWN = 100_000
-WARM_DOCUMENTS, WARM_ROUNDS = 3000, 8
+#: Rounds over all documents before gains are asked for.
+WARM_ROUNDS = 0
+#: Kinds of neighbours that the start goes by: so many commonest symbols one by one, the others dealt over the rest.
+CONTEXTS, OWN_CONTEXTS, START_ROUNDS = 64, 48, 100
 #: Rounds over all documents: another one as long as the last gained GAIN (natural logarithm) a token, ROUNDS at most.
 ROUNDS, GAIN = 3, 0.01
 #: Expected emission counts of a state get so many counts from the base.
@@ -262,18 +266,11 @@ def buffered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, np.n
     yield held
 
 
-def one_round(docs: DataFrame, p: Parameters, mass: np.ndarray) -> tuple[Parameters, float]:
-    """Baum-Welch over docs (key, symbols): new parameters, and the log likelihood under the old ones."""
-    shared = docs.sparkSession.sparkContext.broadcast(p)  # (HEAD + TAIL_CLASSES) x STATES numbers
-    states, symbols = len(p.start), len(p.emit)
+def summed(docs: DataFrame, work) -> np.ndarray | None:
+    """The arrays that work makes of each partition of docs (key, symbols), added up; null of no partitions."""
 
-    def expectations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = shared.value
-        total, likelihood = Parameters(np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states))), 0.0
-        for held in buffered(batches):
-            for _, own in groups(held):
-                likelihood += expect(now, own, total)
-        parts = np.array_split(np.concatenate([[likelihood], total.pack()]), BLOCKS)
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = np.array_split(work(batches), BLOCKS)
         part = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays([pa.array([part] * BLOCKS, pa.int32()), pa.array(range(BLOCKS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["part", "block", "sums"])
 
@@ -283,13 +280,75 @@ def one_round(docs: DataFrame, p: Parameters, mass: np.ndarray) -> tuple[Paramet
         return pa.table({"block": own.column("block").slice(0, 1), "part": own.column("part").slice(0, 1), "sums": pa.array([sums.tobytes()], pa.binary())})
 
     # Merged in two steps, so that no group grows with the tasks: PACK rows of one block, then one row for PACK tasks.
-    each = docs.select("key", "symbols").mapInArrow(expectations, "part int, block int, sums binary")
+    each = docs.select("key", "symbols").mapInArrow(arrays, "part int, block int, sums binary")
     packs = each.groupBy("block", F.floor(F.col("part") / PACK).cast("int").alias("pack")).applyInArrow(add, "block int, part int, sums binary")
-    found = packs.groupBy("block").applyInArrow(add, "block int, part int, sums binary").collect()  # BLOCKS rows, as long as the parameters
+    found = packs.groupBy("block").applyInArrow(add, "block int, part int, sums binary").collect()  # BLOCKS rows, as long as the array
+    return np.concatenate([np.frombuffer(r.sums, float) for r in sorted(found, key=lambda r: r.block)]) if found else None
+
+
+def contexts(symbols: int) -> np.ndarray:
+    """The kind of each symbol as a neighbour. Symbols are in the order of their frequency."""
+    at = np.arange(symbols)
+    return np.where(at < OWN_CONTEXTS, at, OWN_CONTEXTS + at % (CONTEXTS - OWN_CONTEXTS))
+
+
+def neighbours(docs: DataFrame, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """symbols x CONTEXTS: how often each symbol stands before, and behind, a neighbour of each kind, in all docs."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        kind, size = contexts(symbols), symbols * CONTEXTS
+        total = np.zeros(2 * size)
+        for held in buffered(batches):
+            if held:
+                flat = np.concatenate([s for _, s in held]).astype(np.int64)
+                inside = np.ones(len(flat), bool)
+                inside[np.cumsum([len(s) for _, s in held]) - 1] = False  # a document's last symbol is before none
+                one, two = flat[:-1][inside[:-1]], flat[1:][inside[:-1]]
+                total[:size] += np.bincount(one * CONTEXTS + kind[two], minlength=size)
+                total[size:] += np.bincount(two * CONTEXTS + kind[one], minlength=size)
+        return total
+
+    found = summed(docs, work)
+    both = np.zeros((2, symbols, CONTEXTS)) if found is None else found.reshape(2, symbols, CONTEXTS)
+    return both[0], both[1]
+
+
+def fitted(p: Parameters, ahead: np.ndarray, behind: np.ndarray, mass: np.ndarray, rounds: int = START_ROUNDS) -> Parameters:
+    """p after rounds of EM on pairs of neighbours, of which one is known by its kind alone."""
+    kind, base = contexts(len(mass)), PRIOR * (mass / mass.sum())[:, None]
+    member = np.zeros((CONTEXTS, len(mass)))
+    member[kind, np.arange(len(mass))] = 1
+    share, move, emit = p.start, p.move, p.emit
+    if not ahead.any():
+        return p
+    for _ in range(rounds):
+        known, joint = member @ emit, share[:, None] * move
+        own, right, left = emit * share, move @ known.T, joint.T @ known.T
+        one, two = (np.divide(n, z, out=np.zeros_like(n), where=n > 0) for n, z in ((ahead, own @ right), (behind, emit @ left)))
+        moves = joint * (emit.T @ one @ known + known.T @ two.T @ emit)
+        emit = own * (one @ right.T) + emit * (two @ left.T) + base
+        emit, moves = emit / emit.sum(axis=0), moves + 0.1
+        share, move = moves.sum(axis=1) / moves.sum(), moves / moves.sum(axis=1, keepdims=True)
+    return Parameters(p.start, move, emit)
+
+
+def one_round(docs: DataFrame, p: Parameters, mass: np.ndarray) -> tuple[Parameters, float]:
+    """Baum-Welch over docs (key, symbols): new parameters, and the log likelihood under the old ones."""
+    shared = docs.sparkSession.sparkContext.broadcast(p)  # (HEAD + TAIL_CLASSES) x STATES numbers
+    states, symbols = len(p.start), len(p.emit)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        now = shared.value
+        total, likelihood = Parameters(np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states))), 0.0
+        for held in buffered(batches):
+            for _, own in groups(held):
+                likelihood += expect(now, own, total)
+        return np.concatenate([[likelihood], total.pack()])
+
+    flat = summed(docs, work)
     shared.unpersist()
-    if not found:
+    if flat is None:
         return p, 0.0
-    flat = np.concatenate([np.frombuffer(r.sums, float) for r in sorted(found, key=lambda r: r.block)])
     start, move, emit = flat[1 : 1 + states], flat[1 + states : 1 + states + states**2].reshape(states, states), flat[1 + states + states**2 :].reshape(symbols, states)
     emit = emit + PRIOR * (mass / mass.sum())[:, None]
     move, start = move + 0.1, start + 0.1
@@ -298,12 +357,9 @@ def one_round(docs: DataFrame, p: Parameters, mass: np.ndarray) -> tuple[Paramet
 
 def train(coded: DataFrame, mass: np.ndarray) -> Parameters:
     own = coded.where("not held_out")
-    p = first_parameters(mass)
-    n = own.count()
-    share = int(min(1.0, WARM_DOCUMENTS / max(1, n)) * (1 << 20))
-    warm = cut(own.where(F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(1 << 20)) < share).select("key", "symbols"))
+    p = fitted(first_parameters(mass), *neighbours(own, len(mass)), mass)
     for _ in range(WARM_ROUNDS):
-        p, _ = one_round(warm, p, mass)
+        p, _ = one_round(own, p, mass)
     tokens, before = own.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first().n, None
     for _ in range(ROUNDS):
         new, likelihood = one_round(own, p, mass)
