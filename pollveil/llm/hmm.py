@@ -314,7 +314,8 @@ def neighbours(docs: DataFrame, symbols: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fitted(p: Parameters, ahead: np.ndarray, behind: np.ndarray, mass: np.ndarray, rounds: int = START_ROUNDS) -> Parameters:
-    """p after rounds of EM on pairs of neighbours, of which one is known by its kind alone."""
+    """p after rounds of EM on pairs of neighbours, of which one is known by its kind alone. Emissions are counted for the
+    known one only, so that the likelihood need not rise in every round: a start, which Baum-Welch goes on from."""
     kind, base = contexts(len(mass)), PRIOR * (mass / mass.sum())[:, None]
     member = np.zeros((CONTEXTS, len(mass)))
     member[kind, np.arange(len(mass))] = 1
